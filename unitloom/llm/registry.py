@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import simhash
+from unitloom.llm import decontaminate, simhash
 
-MODULES = (simhash,)
+MODULES = (decontaminate, simhash)
 
 
 def queries() -> dict:
