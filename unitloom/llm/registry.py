@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import decontaminate, simhash
+from unitloom.llm import decontaminate, simhash, toxicity
 
-MODULES = (decontaminate, simhash)
+MODULES = (decontaminate, simhash, toxicity)
 
 
 def queries() -> dict:
