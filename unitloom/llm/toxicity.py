@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ WINDOW, STRIDE = 64, 48
 DIFFERENCES = (3, 5, 7)
 #: How many standard errors a word's share of texts must differ between the classes to end a dictionary.
 LEAST_CONTRAST = 3.5
+#: And which part of the most telling word's difference.
+LEAST_SHARE = 0.5
 SLAB = 65_536
 BATCH_BYTES = 4 << 20
 
@@ -106,8 +109,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def _phrases(own: Counter, other: Counter, n_own: int, n_other: int, least: float) -> bytes:
-    """Words over-represented in a class, the most telling last, where matches cost least."""
+def _phrases(own: Counter, other: Counter, n_own: int, n_other: int, least: float, room: int) -> bytes:
+    """Words over-represented in a class, the most telling last, where matches cost least. Words far less telling than
+    the first are left out, since each adds noise to the lengths of ordinary windows."""
 
     def contrast(word: bytes) -> float:
         a, b = own[word] + 0.5, other[word] + 0.5
@@ -115,14 +119,23 @@ def _phrases(own: Counter, other: Counter, n_own: int, n_other: int, least: floa
 
     picked: list[bytes] = []
     size = 1
-    for value, word in sorted(((-contrast(w), w) for w, n in own.items() if n >= 3)):
-        if -value < least or size + len(word) + 1 > TAIL_BYTES:
+    ranked = sorted((-contrast(w), w) for w, n in own.items() if n >= 3)
+    least = max(least, -ranked[0][0] * LEAST_SHARE) if ranked and least > 0 else least
+    for value, word in ranked:
+        if -value < least or size + len(word) + 1 > room:
             break
         picked.append(word)
         size += len(word) + 1
     return b" " + b" ".join(reversed(picked)) + b" "
 
 
+def _sketch(words: list[bytes]) -> set[tuple[int, int]]:
+    """Least hashes of five-word shingles under four orders; texts of which most shingles agree share one or more."""
+    shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles], dtype=np.uint64)
+    return {(k, int((hashes * np.uint64(odd)).min())) for k, odd in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))}
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     """Dictionaries from the even rows, calibration from the odd ones; the order of rows should be random."""
     normal = [_normal(t) for t in texts]
@@ -131,22 +144,26 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     odd = np.arange(len(label)) % 2 == 1
     if any(not ((label == x) & (odd == half)).any() for x in (0, 1) for half in (True, False)):
         return ToxicityModel(prior)
-    seen: tuple[set, set] = (set(), set())
-    counts, sizes = (Counter(), Counter()), [0, 0]
+    seen: set[tuple[int, int]] = set()
+    counts, sizes, ordinary = (Counter(), Counter()), [0, 0], []
     for text, x in ((t, int(x)) for t, x, o in zip(normal, label, odd, strict=True) if not o):
-        if text not in seen[x]:
-            seen[x].add(text)
+        sketch = _sketch(text.split())
+        if not sketch & seen:  # near copies of a text count once
             counts[x].update(set(text.split()))
             sizes[x] += 1
-    tails = [_phrases(counts[x], counts[1 - x], sizes[x], sizes[1 - x], LEAST_CONTRAST if x else -math.inf) for x in (0, 1)]
-    buffer, windows, _ = _windows(sorted(seen[0]))
+            if not x:
+                ordinary.append(text)
+        seen |= sketch
+    toxic_tail = _phrases(counts[1], counts[0], sizes[1], sizes[0], LEAST_CONTRAST, TAIL_BYTES)
+    ordinary_tail = _phrases(counts[0], counts[1], sizes[0], sizes[1], -math.inf, len(toxic_tail)).rjust(len(toxic_tail))
+    buffer, windows, _ = _windows(ordinary)
     chosen = random.Random(0).sample(range(len(windows)), min(len(windows), 60_000))
     samples = [buffer[a : a + n] for a, n in windows[sorted(chosen)].astype(np.int64).tolist()]
     try:
         body = zstandard.train_dictionary(BODY_BYTES, samples, level=3).as_bytes()[-BODY_BYTES:]
     except zstandard.ZstdError:  # too little text to train on: the windows themselves
         body = b"".join(samples)[-BODY_BYTES:]
-    model = ToxicityModel(prior, body + tails[1], body + tails[0])
+    model = ToxicityModel(prior, body + toxic_tail, body + ordinary_tail)
     held = np.nonzero(odd)[0]
     features = np.concatenate([model.features([normal[i] for i in held[k : k + 500]]) for k in range(0, len(held), 500)])
     model.mean, model.spread = features.mean(axis=0), features.std(axis=0) + 1e-9
