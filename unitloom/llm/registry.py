@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import decontaminate, simhash, toxicity
+from unitloom.llm import decontaminate, simhash, suffix_dedup, toxicity
 
-MODULES = (decontaminate, simhash, toxicity)
+MODULES = (decontaminate, simhash, suffix_dedup, toxicity)
 
 
 def queries() -> dict:
