@@ -90,6 +90,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return joined.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item, with their columns."""
+    held, _ = occurrences(docs, items, id_col, text_col, item_col, item_text_col)
+    hit = materialise(held.select(F.col("id").alias("id2"), F.col("key").alias("key2")).distinct(), "contaminated")
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
+    return packed.join(hit, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_anti").select("row.*")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import decontaminate, simhash, suffix_dedup, toxicity
+from unitloom.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
 
-MODULES = (decontaminate, simhash, suffix_dedup, toxicity)
+MODULES = (decontaminate, mixing, simhash, suffix_dedup, toxicity)
 
 
 def queries() -> dict:
