@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import decontaminate, hmm, mixing, simhash, suffix_dedup, toxicity
+from unitloom.llm import decontaminate, hmm, licenses, mixing, simhash, suffix_dedup, toxicity
 
-MODULES = (decontaminate, hmm, mixing, simhash, suffix_dedup, toxicity)
+MODULES = (decontaminate, hmm, licenses, mixing, simhash, suffix_dedup, toxicity)
 
 
 def queries() -> dict:
