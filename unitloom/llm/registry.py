@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from unitloom.llm import decontaminate, hmm, licenses, mixing, simhash, suffix_dedup, toxicity, urls
+from unitloom.llm import decontaminate, hmm, html_text, licenses, mixing, neighbours, simhash, suffix_dedup, toxicity, urls
 
-MODULES = (decontaminate, hmm, licenses, mixing, simhash, suffix_dedup, toxicity, urls)
+MODULES = (decontaminate, hmm, html_text, licenses, mixing, neighbours, simhash, suffix_dedup, toxicity, urls)
 
 
 def queries() -> dict:
