@@ -1 +1 @@
-
+"""Units, formulas and scalar functions."""
