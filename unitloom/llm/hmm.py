@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unitloom.llm.common import materialise, table
@@ -30,9 +30,11 @@ ROUNDS = 3
 ADD = 0.1
 #: Weight, in tokens, of the corpus's shares of classes in each state.
 PRIOR = 500.0
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 4_000_000
 CHUNK_DOCS = 20_000
 SEGMENT = 64
+#: Scale after so many words, far above where doubles end.
+RESCALE = 8
 #: Two more classes follow the hashed ones.
 END, UNKNOWN = CLASSES, CLASSES + 1
 END_WORD = b"\n"  # no word holds white space
@@ -84,28 +86,24 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, counts: bool
     begin, size, text, number = _segments(lengths)
     m = len(begin)
     emit = np.ascontiguousarray(model.emit.T)
-    product = np.broadcast_to(np.eye(k), (m, k, k)).copy()
-    scale = np.zeros(m)
     order = np.argsort(-size, kind="stable")
     alive = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")  # how many segments are longer than t
     begin_o = begin[order]
     first_o = number[order] == 0
-    step_first = np.broadcast_to(np.eye(k), (k, k))
-    product = product[order]
+    product = np.broadcast_to(np.eye(k), (m, k, k)).copy()
+    scale = np.zeros(m)
     for t in range(SEGMENT):
         n = alive[t]
         if not n:
             break
-        b = emit[classes[begin_o[:n] + t]]
         part = product[:n]
-        if t == 0:
-            moved = np.where(first_o[:n, None, None], step_first, model.move)
-        else:
-            moved = part @ model.move
-        part = moved * b[:, None, :]
-        total = part.max(axis=(1, 2))
-        product[:n] = part / total[:, None, None]
-        scale[:n] += np.log(total)
+        # The first word of a text is reached without a move.
+        moved = np.where(first_o[:n, None, None], part, model.move) if t == 0 else (part.reshape(-1, k) @ model.move).reshape(n, k, k)
+        np.multiply(moved, emit[classes[begin_o[:n] + t]][:, None, :], out=part)
+        if t % RESCALE == RESCALE - 1:
+            total = part.reshape(n, -1).max(axis=1)
+            part /= total[:, None, None]
+            scale[:n] += np.log(total)
     back = np.empty(m, dtype=np.int64)
     back[order] = np.arange(m)
     product, scale = product[back], scale[back]
@@ -134,50 +132,48 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, counts: bool
         leaving[at] = beta[own]
         new = np.einsum("nkl,nl->nk", product[at], beta[own])
         beta[own] = new / new.sum(axis=1, keepdims=True)
-    emitted = np.zeros((model.emit.shape[1], k))
+    emitted = np.zeros((k, model.emit.shape[1]))
     moves, starts = np.zeros((k, k)), np.zeros(k)
     for at in range(0, m, 8192):  # bounded working set
         idx = order[at : at + 8192]
-        n0, length = len(idx), size[idx]
-        a, post = entering[idx], np.empty((SEGMENT, n0, k))
-        firsts = number[idx] == 0
-        bs = np.empty((SEGMENT, n0, k))
+        length, first, entered = size[idx], number[idx] == 0, entering[idx]
         live = np.searchsorted(-length, -np.arange(SEGMENT), side="left")
+        seen, ahead, where = [], [], []
         for t in range(SEGMENT):
             n = live[t]
             if not n:
                 break
-            bs[t, :n] = emit[classes[begin[idx[:n]] + t]]
-            prior = np.where(firsts[:n, None], a[:n], a[:n] @ model.move) if t == 0 else post[t - 1, :n] @ model.move
-            now = prior * bs[t, :n]
-            post[t, :n] = now / now.sum(axis=1, keepdims=True)
+            where.append(classes[begin[idx[:n]] + t])
+            b = emit[where[t]]
+            now = np.where(first[:n, None], entered[:n], entered[:n] @ model.move) * b if t == 0 else (ahead[t - 1][:n] @ model.move) * b
+            if t % RESCALE == 0:
+                now /= now.sum(axis=1, keepdims=True)
+            seen.append(b)
+            ahead.append(now)
         late = leaving[idx].copy()
-        for t in range(SEGMENT - 1, -1, -1):
+        for t in range(len(ahead) - 1, -1, -1):
             n = live[t]
-            if not n:
-                continue
-            gamma = post[t, :n] * late[:n]
+            if t % RESCALE == 0:
+                late[:n] /= late[:n].sum(axis=1, keepdims=True)
+            gamma = ahead[t] * late[:n]
             gamma /= gamma.sum(axis=1, keepdims=True)
-            where = classes[begin[idx[:n]] + t]
             for s in range(k):
-                emitted[:, s] += np.bincount(where, gamma[:, s], minlength=len(emitted))
-            right = bs[t, :n] * late[:n]
-            left = post[t - 1, :n] if t else a[:n]
-            joint = left[:, :, None] * model.move * right[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            if t:
-                moves += joint.sum(axis=0)
-            else:
-                moves += joint[~firsts[:n]].sum(axis=0)
-                starts += gamma[firsts[:n]].sum(axis=0)
+                emitted[s] += np.bincount(where[t], gamma[:, s], minlength=emitted.shape[1])
+            right = seen[t] * late[:n]
             new = right @ model.move.T
-            late[:n] = new / new.sum(axis=1, keepdims=True)
-    return log, starts, moves, emitted.T
+            left = ahead[t - 1][:n] if t else entered[:n]
+            weight = 1 / np.einsum("nk,nk->n", left, new)
+            if t == 0:
+                starts += gamma[first[:n]].sum(axis=0)
+                weight = np.where(first[:n], 0.0, weight)
+            moves += (left * weight[:, None]).T @ right * model.move
+            late[:n] = new
+    return log, starts, moves, emitted
 
 
 def _pack(docs: DataFrame) -> DataFrame:
     """Chunks of texts (``kind`` 0) and the words of each chunk (``kind`` 1)."""
-    shape = "kind int, chunk string, row_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, word binary, class int, number int, trained long"
+    shape = "kind int, chunk string, row_ids array<long>, held array<boolean>, sizes array<int>, tokens binary, classes binary, word binary, class int, number int, trained long"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -194,9 +190,9 @@ def _pack(docs: DataFrame) -> DataFrame:
             trained = np.bincount(tokens[learnt], minlength=len(number))
             n = len(number)
             key = list(number)
-            one = pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "chunk": [chunk], "row_ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": pa.array([tokens.tobytes()], pa.binary()), "word": pa.array([None], pa.binary()), "class": pa.array([None], pa.int32()), "number": pa.array([None], pa.int32()), "trained": pa.array([None], pa.int64())})
             classes = np.fromiter((END if w == END_WORD else class_of(w) for w in key), np.int32, n)
-            two = pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, dtype=np.int32)), "chunk": pa.array([chunk] * n), "row_ids": pa.nulls(n, pa.list_(pa.int64())), "held": pa.nulls(n, pa.list_(pa.bool_())), "sizes": pa.nulls(n, pa.list_(pa.int32())), "tokens": pa.nulls(n, pa.binary()), "word": pa.array(key, pa.binary()), "class": pa.array(classes), "number": pa.array(np.arange(n, dtype=np.int32)), "trained": pa.array(trained.astype(np.int64))})
+            one = pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "chunk": [chunk], "row_ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "tokens": pa.array([tokens.tobytes()], pa.binary()), "classes": pa.array([classes.tobytes()], pa.binary()), "word": pa.array([None], pa.binary()), "class": pa.array([None], pa.int32()), "number": pa.array([None], pa.int32()), "trained": pa.array([None], pa.int64())})
+            two = pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, dtype=np.int32)), "chunk": pa.array([chunk] * n), "row_ids": pa.nulls(n, pa.list_(pa.int64())), "held": pa.nulls(n, pa.list_(pa.bool_())), "sizes": pa.nulls(n, pa.list_(pa.int32())), "tokens": pa.nulls(n, pa.binary()), "classes": pa.nulls(n, pa.binary()), "word": pa.array(key, pa.binary()), "class": pa.array(classes), "number": pa.array(np.arange(n, dtype=np.int32)), "trained": pa.array(trained.astype(np.int64))})
             ids, held, sizes, parts, number, total = [], [], [], [], {}, 0
             yield one
             for k in range(0, n, 50_000):
@@ -223,8 +219,8 @@ def _pack(docs: DataFrame) -> DataFrame:
 class Corpus:
     """What scoring needs: chunks of texts, and the corpus count of each word of each chunk."""
 
-    chunks: DataFrame  # chunk, row_ids, held, sizes, tokens
-    known: DataFrame  # chunk, numbers, classes, counts
+    chunks: DataFrame  # chunk, row_ids, held, sizes, tokens, classes
+    known: DataFrame  # chunk, numbers, counts
     total: int
     distinct: int
     mass: np.ndarray  # of each class: counts of its words, each plus ADD
@@ -235,8 +231,11 @@ def gather(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     """Counts over all texts for which ``held`` is false."""
     packed = materialise(_pack(docs.select(F.col(id_col).cast("long"), held.alias("held"), F.col(text_col).cast("string"))), "hmm-packed", "kind")
     local = packed.where("kind = 1").select("chunk", "word", "class", "number", "trained")
-    counts = local.groupBy("word").agg(F.sum("trained").alias("c"), F.first("class").alias("class"))
-    by_class = counts.where("c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()  # CLASSES + 1 rows at most
+    # A word has one row for each chunk that holds it; all its rows meet once, and get its count.
+    meeting = Window.partitionBy("word")
+    counted = local.select("chunk", "number", "class", F.sum("trained").over(meeting).alias("c"), (F.row_number().over(meeting.orderBy("chunk")) == 1).alias("leads"))
+    counted = materialise(counted, "hmm-counts")
+    by_class = counted.where("leads and c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()  # CLASSES + 1 rows at most
     tokens, kinds = np.zeros(CLASSES + 2), np.zeros(CLASSES + 2)
     for r in by_class:
         tokens[r["class"]], kinds[r["class"]] = r["c"], r["v"]
@@ -246,9 +245,8 @@ def gather(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     unseen = (sum(r["once"] for r in by_class) + ADD) / (total + 2 * ADD + 1)
     share *= (1 - unseen) / max(share.sum(), 1e-300)
     share[UNKNOWN] = unseen if share.sum() else 1.0
-    joined = local.select("chunk", "word", "class", "number").join(counts.select("word", "c"), "word")
-    known = joined.groupBy("chunk").agg(F.collect_list(F.struct("number", "class", "c")).alias("w")).select("chunk", F.col("w.number").alias("numbers"), F.col("w.class").alias("classes"), F.col("w.c").alias("counts"))
-    chunks = packed.where("kind = 0").select("chunk", "row_ids", "held", "sizes", "tokens")
+    known = counted.groupBy("chunk").agg(F.collect_list(F.struct("number", "c")).alias("w")).select("chunk", F.col("w.number").alias("numbers"), F.col("w.c").alias("counts"))
+    chunks = packed.where("kind = 0").select("chunk", "row_ids", "held", "sizes", "tokens", "classes")
     return Corpus(chunks, materialise(known, "hmm-known"), total, distinct, mass, share)
 
 
@@ -261,7 +259,7 @@ def _sorted(numbers: pa.Array, values: pa.Array, kind) -> np.ndarray:
 def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training texts; each round sums the expected counts of every chunk."""
     model = initial(corpus.share, states)
-    joined = corpus.chunks.join(corpus.known, "chunk").select("held", "sizes", "tokens", "numbers", "classes")
+    chunks = corpus.chunks.select("held", "sizes", "tokens", "classes")
     width = CLASSES + 2
     for _ in range(rounds if corpus.total else 0):
 
@@ -271,14 +269,14 @@ def train(corpus: Corpus, states: int = STATES, rounds: int = ROUNDS) -> Model:
                 for r in range(batch.num_rows):
                     sizes = batch.column(1)[r].values.to_numpy().astype(np.int64)
                     learnt = ~batch.column(0)[r].values.to_numpy(zero_copy_only=False)
-                    classes = _sorted(batch.column(3)[r].values, batch.column(4)[r].values, np.int64)[np.frombuffer(batch.column(2)[r].as_py(), dtype=np.int32)]
+                    classes = np.frombuffer(batch.column(3)[r].as_py(), dtype=np.int32)[np.frombuffer(batch.column(2)[r].as_py(), dtype=np.int32)]
                     if learnt.any():
                         _, s, m, e = forward(model, classes[np.repeat(learnt, sizes)], sizes[learnt], counts=True)
                         starts, moves, emitted = starts + s, moves + m, emitted + e
             flat = np.concatenate((starts, moves.ravel(), emitted.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["cell", "x"])
 
-        cells = joined.mapInArrow(of, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()  # states * (classes + states + 3)
+        cells = chunks.mapInArrow(of, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()  # states * (classes + states + 3)
         flat = np.zeros(states + states * states + states * width)
         for cell, x in cells:
             flat[cell] = x
@@ -301,10 +299,8 @@ def score(corpus: Corpus, model: Model) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 sizes = batch.column(2)[r].values.to_numpy().astype(np.int64)
-                numbers = batch.column(4)[r].values
-                counts = _sorted(numbers, batch.column(6)[r].values, np.int64)
-                classes = _sorted(numbers, batch.column(5)[r].values, np.int64)
-                classes = np.where(counts > 0, classes, UNKNOWN)
+                counts = _sorted(batch.column(5)[r].values, batch.column(6)[r].values, np.int64)
+                classes = np.where(counts > 0, np.frombuffer(batch.column(4)[r].as_py(), dtype=np.int32), UNKNOWN)
                 base = np.log((counts + ADD) / floor)
                 within = np.where(counts > 0, np.log((counts + ADD) / mass[classes]), 0.0)  # of a word in its class
                 tokens = np.frombuffer(batch.column(3)[r].as_py(), dtype=np.int32)
@@ -316,7 +312,7 @@ def score(corpus: Corpus, model: Model) -> DataFrame:
                     ["id", "held", "n_tokens", "n_known", "base", "score"],
                 )
 
-    joined = corpus.chunks.join(corpus.known, "chunk").select("row_ids", "held", "sizes", "tokens", "numbers", "classes", "counts")
+    joined = corpus.chunks.join(corpus.known, "chunk").select("row_ids", "held", "sizes", "tokens", "classes", "numbers", "counts")
     return joined.mapInArrow(of, "id long, held boolean, n_tokens long, n_known long, base double, score double")
 
 
