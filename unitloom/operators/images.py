@@ -175,7 +175,7 @@ def store(tiles: DataFrame) -> DataFrame:
         pixels = _array(r.rgba, r.h, r.w)
         pack = zstandard.ZstdCompressor(level=12).compress
         plain, lean = pack(pixels.tobytes()), pack(filter_paeth(pixels).tobytes())
-        yield r.image, r.tx, r.ty, r.w, r.h, len(lean) < len(plain), min(lean, plain, key=len)
+        yield r.image, r.tx, r.ty, r.w, r.h, len(lean) < len(plain), min(plain, lean, key=len)
 
     return _mapped(tiles.select("image", "tx", "ty", "w", "h", "rgba"), "image string, tx int, ty int, w int, h int, filtered boolean, stored binary", of)
 

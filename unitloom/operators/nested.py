@@ -121,7 +121,7 @@ def rebuild(leaves: Iterable[tuple[list, str, str | None]]) -> Any:
         holder: Any = root
         at: Any = 0
         for s in segs:
-            name = s["idx"] if s["is_index"] else s["key"]
+            name = int(s["idx"]) if s["is_index"] else s["key"]
             wanted = list if s["is_index"] else dict
             inner = holder[at]
             if inner is None:

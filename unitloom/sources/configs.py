@@ -30,30 +30,26 @@ def read_yaml(text: str) -> Any:
     """Scalar keys become texts, other keys are refused; tags are dropped; dates stay texts."""
     import yaml
 
+    def spelled(key: Any) -> str:
+        if isinstance(key, (list, dict, tuple)):
+            raise ConfigError("a key that is a list or map cannot be kept")
+        return key if isinstance(key, str) else "null" if key is None else str(key).lower() if isinstance(key, bool) else float_text(key) if isinstance(key, float) else str(key)
+
     class Loader(yaml.SafeLoader):
-        pass
+        def construct_mapping(self, node, deep=False):
+            self.flatten_mapping(node)
+            return {spelled(self.construct_object(k, deep=True)): self.construct_object(v, deep=True) for k, v in node.value}
 
     Loader.yaml_implicit_resolvers = {k: [(tag, rx) for tag, rx in v if tag != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-    Loader.add_multi_constructor("!", lambda loader, _, node: _untagged(loader, node))
 
-    def _untagged(loader, node):
+    def untagged(loader, _, node):
         if isinstance(node, yaml.ScalarNode):
             return loader.construct_scalar(node)
         return loader.construct_sequence(node, deep=True) if isinstance(node, yaml.SequenceNode) else loader.construct_mapping(node, deep=True)
 
-    def keyed(value: Any) -> Any:
-        if isinstance(value, dict):
-            out = {}
-            for k, v in value.items():
-                if isinstance(k, (tuple, frozenset)):
-                    raise ConfigError("a key that is a list or map cannot be kept")
-                name = k if isinstance(k, str) else "null" if k is None else str(k).lower() if isinstance(k, bool) else float_text(k) if isinstance(k, float) else str(k)
-                out[name] = keyed(v)
-            return out
-        return [keyed(v) for v in value] if isinstance(value, list) else value
-
+    Loader.add_multi_constructor("!", untagged)
     try:
-        return limit_ints(keyed(yaml.load(text, Loader)))
+        return limit_ints(yaml.load(text, Loader))
     except yaml.constructor.ConstructorError as e:
         raise ConfigError(str(e)) from e
 
