@@ -3,7 +3,7 @@
 A unit vector is turned by a fixed random rotation and kept as one bit per dimension, with one correction scalar: the inner
 product a of the vector with its code, the unit vector of the signs. For a rotated query q, <code, q> / a estimates the
 cosine, with an error that stays below ``ERROR_WIDTH * sqrt(1 / a^2 - 1) / sqrt(d - 1)`` save with a vanishing chance. Within
-a block of vectors only those whose upper bound reaches the k-th best lower bound are measured exactly.
+a block the vectors of best estimate are measured exactly, and then only those whose upper bound reaches the k-th of them.
 """
 
 from __future__ import annotations
@@ -47,17 +47,30 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(na) * np.sqrt(nb))
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
 def nearest_in_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, corrections: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, vector and cosine of the ``k`` best in a block for each query; a query's own id takes no part."""
     d = queries.shape[1]
-    unit = queries / np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+    unit, whole = _unit(queries), _unit(vectors)
     signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    estimate = (unit.astype(np.float32) @ turn) @ signs.T / (np.sqrt(d) * corrections)
-    error = ERROR_WIDTH * np.sqrt(np.maximum(1 / corrections.astype(float) ** 2 - 1, 0)) / np.sqrt(max(1, d - 1)) + 1e-5
+    estimate = (unit.astype(np.float32) @ turn) @ signs.T / (np.float32(np.sqrt(d)) * corrections)
+    error = (ERROR_WIDTH * np.sqrt(np.maximum(1 / corrections.astype(float) ** 2 - 1, 0)) / np.sqrt(max(1, d - 1)) + 1e-5).astype(np.float32)
     own = query_ids[:, None] == ids[None, :]
-    lower, upper = np.where(own, -np.inf, estimate - error), np.where(own, -np.inf, estimate + error)
-    least = np.partition(lower, max(0, lower.shape[1] - k), axis=1)[:, max(0, lower.shape[1] - k)]
-    q, v = np.nonzero((upper >= least[:, None]) & ~own)
+    estimate[own] = -np.inf
+    # The vectors of best estimate are measured first: what cannot reach the k-th of them is out by its bound.
+    least = np.full(len(queries), -np.inf)
+    if len(ids) > k:
+        first = np.argpartition(estimate, len(ids) - k, axis=1)[:, len(ids) - k :]
+        measured = np.einsum("qd,qkd->qk", unit, whole[first])
+        measured[np.take_along_axis(own, first, axis=1)] = -np.inf
+        least = measured.min(axis=1) - 1e-9
+    q, v = np.nonzero((estimate + error >= least[:, None].astype(np.float32) - np.float32(1e-6)) & ~own)
+    near = np.concatenate([np.einsum("nd,nd->n", unit[q[i : i + 100_000]], whole[v[i : i + 100_000]]) for i in range(0, len(q), 100_000)] or [np.zeros(0)])
+    close = near >= least[q]
+    q, v = q[close], v[close]
     score = np.concatenate([cosines(queries[q[i : i + 200_000]], vectors[v[i : i + 200_000]]) for i in range(0, len(q), 200_000)] or [np.zeros(0)])
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
