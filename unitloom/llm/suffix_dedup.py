@@ -178,7 +178,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     marked = _sharing(suffixes).groupBy("id", "th").agg(F.collect_set("pos").alias("at"))
     own = copies.select(F.col("id").alias("id2"), F.col("th").alias("th2"))
     same_row = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
-    marked = materialise(marked.join(own, same_row, "left_anti"), "marked").select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at")
+    marked = materialise(marked.join(own, same_row, "left_anti"), "marked")
+    marked = marked.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at")
     windows = materialise(_windows(frame.join(marked, same_row).select("id", "th", "text", "at"), min_words, gram), "dedup-windows")
     place = F.struct("id", "th", "pos")
     known = windows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("win", "first")
@@ -238,8 +239,23 @@ def without(text: str | None, cuts: list[list[int]]) -> str:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repeated passage of a document; documents without any are not listed."""
     found = repeats(table(spark, sf_dir, "documents")).select("id", F.explode("spans").alias("s"))
-    return found.select(F.col("id").alias("doc_id"), F.col("s.start").alias("start_word"), F.col("s.stop").alias("stop_word"), F.col("s.redundant").alias("redundant"), F.col("s.first_ids").alias("first_doc_ids"))
+    return found.select(F.col("id").alias("doc_id"), F.col("s.start").alias("start_word"), F.col("s.stop").alias("stop_word"), F.col("s.redundant").alias("redundant"), F.array_min("s.first_ids").alias("first_doc_id"), F.size("s.first_ids").cast("long").alias("n_first"))
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-SQL: dict[str, str] = {}
+# Every window of 50 words in full, for unique ids.
+SQL = {
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT text, min(doc_id) AS least FROM d WHERE len(w) >= 50 GROUP BY text HAVING count(DISTINCT doc_id) > 1),
+whole AS (SELECT doc_id, 0 AS a, len(w) AS z, doc_id <> least AS redundant, least FROM d JOIN c USING (text)),
+own AS (SELECT doc_id, w FROM d WHERE doc_id NOT IN (SELECT doc_id FROM whole WHERE redundant)),
+win AS (SELECT doc_id, s - 1 AS pos, md5(array_to_string(w[s:s + 49], ' ')) AS win FROM own, unnest(range(1, len(w) - 48)) t(s)),
+g AS (SELECT win, min((doc_id, pos)) AS first FROM win GROUP BY win HAVING count(*) > 1),
+r AS (SELECT doc_id, pos, first[1] AS f, first <> (doc_id, pos) AS redundant FROM win JOIN g USING (win)),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, redundant ORDER BY pos) AS island FROM r),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS z, redundant, min(f) AS least, count(DISTINCT f) AS n FROM i GROUP BY doc_id, redundant, island)
+SELECT doc_id, CAST(a AS INTEGER) AS start_word, CAST(z AS INTEGER) AS stop_word, redundant, least AS first_doc_id, n AS n_first FROM spans
+UNION ALL SELECT doc_id, 0, CAST(z AS INTEGER), redundant, least, 1::BIGINT FROM whole
+""",
+}
