@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
+from unitloom.llm import decontaminate, mixing, suffix_dedup, toxicity
+from unitloom.llm import near_copies as near
 from unitloom.llm.common import shared_dir, table, text_key
 
 
@@ -17,9 +18,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays; five-word shingles are compared."""
-    classes = simhash.near_duplicates(docs, size=5).select(F.col("id").alias("_id"), F.col("root").alias("_root"))
-    gone = classes.where("not (_id <=> _root)").select("_id").distinct()
+    """Of each class of near copies the document with the smallest id stays; texts of which 0.8 of the five-word shingles
+    agree (Jaccard) are linked."""
+    keyed = docs.select(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("key"))
+    classed = keyed.join(near.near_copies(docs), "key", "left").select("_id", F.coalesce("root", "key").alias("_class"))
+    roots = classed.groupBy("_class").agg(F.min("_id").alias("_root"))
+    gone = classed.join(roots, "_class").where("not (_id <=> _root)").select("_id").distinct()
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key"))
     kept = packed.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left_anti")
     # Rows of one id and text are copies too.
