@@ -18,16 +18,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; texts of which 0.8 of the five-word shingles
-    agree (Jaccard) are linked."""
-    keyed = docs.select(F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("key"))
-    classed = keyed.join(near.near_copies(docs), "key", "left").select("_id", F.coalesce("root", "key").alias("_class"))
-    roots = classed.groupBy("_class").agg(F.min("_id").alias("_root"))
-    gone = classed.join(roots, "_class").where("not (_id <=> _root)").select("_id").distinct()
+    """Of each class of near copies the document with the smallest id stays (a null id comes last, then the hash of the text
+    decides); texts of which 0.8 of the five-word shingles agree (Jaccard) are linked. Rows are told apart by id and text:
+    other texts under the same id, null or not, stand for themselves. Of rows equal in both one stays."""
+    rows = docs.select(F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key")).distinct()
+    classed = rows.join(near.near_copies(docs).withColumnRenamed("key", "_key"), "_key", "left").select("_doc", "_key", F.coalesce("root", "_key").alias("_class"))
+    first = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("id"), F.col("_key").alias("key"))
+    kept = classed.groupBy("_class").agg(F.min(first).alias("_first")).select(F.col("_first.id").alias("_id"), F.col("_first.key").alias("_text"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key"))
-    kept = packed.join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left_anti")
+    found = packed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
     # Rows of one id and text are copies too.
-    return kept.dropDuplicates(["_doc", "_key"]).select("_row.*")
+    return found.dropDuplicates(["_doc", "_key"]).select("_row.*")
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

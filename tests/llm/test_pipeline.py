@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.fixtures import sentence
+from tests.llm.fixtures import SHAPE, documents, sentence
 
 
 def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
@@ -24,3 +24,17 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert 123 not in out  # holds a benchmark item
     assert sum(passage in (out[i]["text"] or "") for i in (121, 122)) == 1
     assert len({(r["slot"], r["place"]) for r in out.values()}) == len(out)
+
+
+def test_copies_go_by_id_and_text(spark, tmp_path):
+    rng = random.Random(9)
+    one, two, three, four = (sentence(rng, 60) for _ in range(4))
+    rows = [(1, one), (None, one), (None, two), (None, three), (2, one), (2, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, one), (None, two), (None, three), (2, four)], key=str)
+    fixture = spark.createDataFrame(documents(), SHAPE)
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, fixture, str(tmp_path)).collect()}
+    texts = [t for _, t, *_ in documents()]
+    assert (5, "another text under a used id") in kept and (0, texts[0]) in kept and (3, texts[3]) in kept
+    assert (4, texts[4]) not in kept and (None, texts[3]) not in kept and not any(i is None for i, _ in kept)
