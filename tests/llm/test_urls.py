@@ -19,3 +19,14 @@ def test_verdicts_follow_the_list_of_the_day(spark):
     assert out == {i: (b, rule) for i, (_, _, b, rule) in enumerate(asked)}
     assert urls.evaluate(frame.limit(0), entries).collect() == []
     assert not any(r["blocked"] for r in urls.evaluate(frame, entries.limit(0)).collect())
+
+
+def test_entries_of_any_depth_and_case(spark):
+    keys = ["example.com/a/b", "example.com/page.html", "Example.com/Ads", "example.com/dir/"]
+    entries = spark.createDataFrame([(k, DAY(1), "block", "c") for k in keys], "key string, at date, action string, category string")
+    asked = [
+        ("http://example.com/a/b/c.html", "example.com/a/b"), ("http://www.example.com/a/b", "example.com/a/b"), ("http://example.com/a/bc", None), ("http://example.com/a", None),
+        ("http://example.com/page.html?x=1", "example.com/page.html"), ("http://EXAMPLE.com/Ads/1", "example.com/Ads"), ("http://example.com/ads/1", None), ("http://example.com/dir", "example.com/dir"), ("http://example.com/dir/x/y", "example.com/dir"),
+    ]
+    frame = spark.createDataFrame([(u, DAY(2)) for u, _ in asked], "url string, fetched date")
+    assert {r["url"]: (r["blocked"], r["rule"]) for r in urls.evaluate(frame, entries).selectExpr("row.url", "blocked", "rule").collect()} == {u: (rule is not None, rule) for u, rule in asked}

@@ -29,12 +29,21 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(host: Column, path: Column) -> Column:
-    """The host and its parent domains of two labels or more, each alone and with the first directory of the path."""
+    """The host and its parent domains of two labels or more, each alone, with every directory of the path, and with the
+    whole path; final slashes of a path don't count."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array_join(F.slice(labels, i + 1, n - i), "."))
-    first = F.regexp_extract(path, r"^(/[^/]+)/", 1)
-    return F.when(host.isNull(), F.array().cast("array<string>")).when(first == "", domains).otherwise(F.concat(domains, F.transform(domains, lambda d: F.concat(d, first))))
+    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    # The first part is empty, so the first prefix adds nothing to the domain.
+    prefixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p)))))
+
+
+def entry_key(key: Column) -> Column:
+    """The host in lower case; the path keeps its case and loses final slashes."""
+    host = F.substring_index(key, "/", 1)
+    return F.concat(F.lower(host), F.regexp_replace(F.substr(key, F.length(host) + 1), "/+$", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -42,7 +51,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``category``. Of entries of one key and time the strictest counts, then the greatest category. Entries without key, time
     or a known action are no entries."""
     rank = F.when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1).when(F.col("action") == "remove", 0)
-    strict = entries.where(F.col("key").isNotNull() & F.col("at").isNotNull() & rank.isNotNull()).groupBy(F.lower("key").alias("key"), "at").agg(F.max(F.struct(rank.alias("rank"), "category", "action")).alias("e"))
+    strict = entries.where(F.col("key").isNotNull() & F.col("at").isNotNull() & rank.isNotNull()).groupBy(entry_key(F.col("key")).alias("key"), "at").agg(F.max(F.struct(rank.alias("rank"), "category", "action")).alias("e"))
     until = F.lead("at").over(Window.partitionBy("key").orderBy("at"))
     return strict.select("key", "e.action", "e.category", F.col("at").alias("since"), until.alias("until")).where("action <> 'remove'")
 
