@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set, as in tests."""
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and Spark runs on one
+    machine, as in tests."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:  # one machine: all executors are here
         found = f"file://{tempfile.mkdtemp(prefix='unitloom-')}"
         context.setCheckpointDir(found)
         found = context.getCheckpointDir()
@@ -37,7 +40,17 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these. Only for tables that no later step reads."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,10 +1,13 @@
 """Passages that repeat within and across documents, found with a sparse suffix array.
 
 Every run of ``min_words`` words has one minimiser: its first ``GRAM``-word gram of least hash. Only suffixes at minimisers
-are kept. They are sorted over the whole corpus and compared with their neighbours; a suffix whose leading gram no
-neighbour shares lies in no repeated passage. Around the others matches are extended left and right: a word-by-word
-shifted window of ``min_words`` words that holds the minimiser either occurs elsewhere or not, and adjoining windows that
-do make up one maximal passage.
+are kept, and of these, by a first sort, only those whose leading gram a neighbour shares. They are then sorted by the
+words that follow (as a sequence of one symbol a word, a 48-bit hash) and compared with their neighbours: the common prefix
+is how far a match extends to the right, and the order of the words before the suffix, the nearest first, tells how far
+it extends to the left. A suffix and another make a passage of ``min_words`` words wherever both extensions add up to that;
+adjoining ones make up one maximal passage. The sorted order is dealt out by ranges of suffix and place, so a passage in a
+third of all documents is spread over many tasks; where a range ends within a group of suffixes that share their leading
+gram, the windows of that group meet in a join instead.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, table, text_key
+from unitloom.llm.common import materialise, release, table, text_key
 
 MIN_WORDS = 50
 GRAM = 20
+#: Bytes of a word's hash by which suffixes are ordered and compared, word by word.
+SYMBOL = 6
+CONTEXT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("least", pa.int32()), ("most", pa.int32()), ("follow", pa.binary()), ("before", pa.binary())])
+MATCH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64()), ("again", pa.bool_()), ("win", pa.binary())])
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -115,43 +122,172 @@ def _sharing(suffixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(of, "id long, th long, pos int")
 
 
-def _windows(marked: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """The windows of each text around its marked minimisers: ``win`` (hash), ``id``, ``th``, ``pos``."""
+def _contexts(marked: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """The suffix at each marked minimiser, as far as its windows reach: ``follow`` (symbols of the words from it on),
+    ``before`` (of the words left of it, the nearest first), and ``least`` and ``most``, the distances of its windows'
+    starts. A window belongs to its minimiser alone, wherever it occurs, so no comparison is made twice."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(CONTEXT.names, r, strict=True)) for r in rows], CONTEXT)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                hashes = word_hashes(batch.column(2)[i].as_py())
+            for doc, th, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if (doc, th) == last:  # a repeated row is the same text
+                    continue
+                last = doc, th
+                hashes = word_hashes(text.as_py())
                 _, at = minimisers(hashes, min_words, gram)
-                chosen = np.nonzero(np.isin(at, batch.column(3)[i].values.to_numpy()))[0]
-                win = _grams(hashes, min_words)[chosen].view(np.int64)
-                own = pa.array(np.full(len(chosen), i))
-                yield pa.RecordBatch.from_arrays([pa.array(win), batch.column(0).take(own), batch.column(1).take(own), pa.array(chosen.astype(np.int32))], ["win", "id", "th", "pos"])
+                symbols = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :SYMBOL])
+                ahead, back = symbols.tobytes(), symbols[::-1].tobytes()
+                places = np.sort(marks.values.to_numpy())
+                first, final = np.searchsorted(at, places, "left"), np.searchsorted(at, places, "right") - 1
+                for p, a, z in zip(places.tolist(), first.tolist(), final.tolist(), strict=True):
+                    begin = (len(hashes) - p) * SYMBOL
+                    rows.append((doc, th, p, p - z, p - a, ahead[p * SYMBOL : (z + min_words) * SYMBOL], back[begin : begin + (p - a) * SYMBOL]))
+                if len(rows) >= 4096:
+                    yield out()
+                    rows.clear()
+        if rows:
+            yield out()
+
+    return marked.mapInArrow(of, "id long, th long, pos int, least int, most int, follow binary, before binary")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """One row of ``width`` symbols for each cell, padded with zero bytes."""
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(c.ljust(width * SYMBOL, b"\0") for c in cells), dtype=np.uint8).reshape(len(cells), width * SYMBOL)
+
+
+def _common_prefix(rows: np.ndarray) -> np.ndarray:
+    """How many symbols each row has in common with the row before it; 0 for the first."""
+    found = np.zeros(len(rows), dtype=np.int64)
+    for at in range(1, len(rows), 4096):
+        apart = rows[at : at + 4096] != rows[at - 1 : at - 1 + len(rows[at : at + 4096])]
+        found[at : at + 4096] = np.where(apart.any(axis=1), apart.argmax(axis=1), rows.shape[1]) // SYMBOL
+    return found
+
+
+def extend(follow: np.ndarray, before: np.ndarray, least: np.ndarray, most: np.ndarray, rank: np.ndarray, min_words: int) -> np.ndarray:
+    """For each suffix (a row, in suffix order) and each distance of its windows' starts: the row of least ``rank`` whose window
+    there has the same words, or -1 if no other row has.
+
+    Rows that agree on ``min_words - d`` words to the right stand next to each other in the order, so common prefixes of
+    neighbours tell them; rows that agree on d words to the left do so in the order of what stands before.
+    """
+    n, reach = len(follow), before.shape[1] // SYMBOL
+    right = _common_prefix(follow)
+    order = np.argsort(before.view(f"S{before.shape[1]}").ravel(), kind="stable")
+    left = _common_prefix(before[order])
+    by_rank = np.argsort(rank, kind="stable")
+    place = np.empty(n, dtype=np.int64)
+    place[by_rank] = np.arange(n)
+    out = np.full((n, reach + 1), -1, dtype=np.int32)
+    run, side = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for d in range(reach + 1):
+        at = np.nonzero((least <= d) & (d <= most))[0]
+        if len(at) < 2:
+            continue
+        run[:] = np.cumsum(right < min_words - d)
+        side[order] = np.cumsum(left < d) if d else 0
+        _, which, count = np.unique(run[at] * (n + 1) + side[at], return_inverse=True, return_counts=True)
+        first = np.full(len(count), n)
+        np.minimum.at(first, which, place[at])
+        again = count[which] > 1
+        out[at[again], d] = by_rank[first[which[again]]]
+    return out
+
+
+def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """Sorted suffixes compared with their neighbours. ``win`` null: ``start`` to ``stop`` stands elsewhere as well, first in
+    ``first``. Suffixes that share their leading gram with the first or last of a sorted part may go on in another
+    part: of these every window is given out (``win``), to be compared by a join."""
 
-    return marked.mapInArrow(of, "win long, id long, th long, pos int")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = min_words - gram
+
+        def done(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            doc, th, pos = rows["id"].combine_chunks(), rows["th"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
+            least, most = rows["least"].to_numpy().astype(np.int64), rows["most"].to_numpy().astype(np.int64)
+            if not whole:
+                follow, before = rows["follow"].to_pylist(), rows["before"].to_pylist()
+                count = most - least + 1
+                own = np.repeat(np.arange(len(count)), count)
+                d = np.repeat(least, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                for at in range(0, len(own), 8192):
+                    i, far = own[at : at + 8192], d[at : at + 8192]
+                    win = [xxhash.xxh3_128_digest(before[r][: k * SYMBOL] + follow[r][: (min_words - k) * SYMBOL], k) for r, k in zip(i.tolist(), far.tolist(), strict=True)]
+                    start = pos[i] - far
+                    yield pa.RecordBatch.from_arrays([doc.take(pa.array(i)), pa.array(th[i]), pa.array(start.astype(np.int32)), pa.array((start + min_words).astype(np.int32)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.bool_()), pa.array(win, pa.binary())], MATCH.names)
+                return
+            number = doc.fill_null(0).to_numpy()
+            rank = np.empty(len(pos), dtype=np.int64)
+            rank[np.lexsort((pos, th, number, doc.is_valid().to_numpy(zero_copy_only=False)))] = np.arange(len(pos))
+            first = extend(_matrix(rows["follow"], min_words), _matrix(rows["before"], reach), least, most, rank, min_words)[:, ::-1]
+            i, back = np.nonzero(first >= 0)
+            if not len(i):
+                return
+            found, start = first[i, back], pos[i] - (reach - back)
+            fresh = np.concatenate(([True], (i[1:] != i[:-1]) | (start[1:] != start[:-1] + 1) | (found[1:] != found[:-1])))
+            head = np.nonzero(fresh)[0]
+            tail = np.concatenate((head[1:], [len(i)])) - 1
+            own = pa.array(i[head])
+            yield pa.RecordBatch.from_arrays([doc.take(own), pa.array(th[i[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + min_words).astype(np.int32)), doc.take(pa.array(found[head])), pa.array(found[head] != i[head]), pa.nulls(len(head), pa.binary())], MATCH.names)
+
+        held: list[pa.RecordBatch] = []  # from the start of a group on
+        size, opening, before = 0, True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+            lead = [f[: gram * SYMBOL] for f in rows["follow"].to_pylist()]
+            place = list(zip(rows["id"].to_pylist(), rows["th"].to_pylist(), rows["pos"].to_pylist(), strict=True))
+            rows = rows.filter(pa.array([True] + [place[k] != place[k - 1] for k in range(1, len(place))]))
+            lead = [lead[0]] + [lead[k] for k in range(1, len(place)) if place[k] != place[k - 1]]
+            cuts = [0] + [k for k in range(1, len(lead)) if lead[k] != lead[k - 1]]
+            if opening and len(cuts) > 1:
+                yield from done(rows.slice(0, cuts[1]), False)
+                opening, cuts = False, cuts[1:]
+            if not opening and len(cuts) > 1:
+                yield from done(rows.slice(cuts[0], cuts[-1] - cuts[0]), True)
+            rest = rows.slice(cuts[-1] if not opening else 0)
+            if opening and rest.num_rows >= 16_384:  # a group that fills the part need not be held
+                yield from done(rest.slice(0, rest.num_rows - 1), False)
+                rest = rest.slice(rest.num_rows - 1)
+            held = rest.combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held), False)
+
+    parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["follow", "before", "id", "th", "pos"]
+    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, win binary")
 
 
 def _spans(gathered: DataFrame, min_words: int) -> DataFrame:
-    """Adjoining windows of a text joined to passages."""
+    """Adjoining matches of a text joined to passages."""
     shape = "id long, th long, spans array<struct<start:int,stop:int,redundant:boolean,first_ids:array<long>>>"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("redundant", pa.bool_()), ("first_ids", pa.list_(pa.int64()))]))
         for batch in batches:
-            found = []
-            for cell in batch.column(2):
-                rows = cell.values
-                pos, again = rows.field("pos").to_numpy(), rows.field("again").to_numpy(zero_copy_only=False)
-                first = rows.field("first").to_pylist()
-                order = np.argsort(pos, kind="stable")
-                pos, again = pos[order], again[order]
-                cuts = np.nonzero((np.diff(pos) > 1) | (np.diff(again.astype(np.int8)) != 0))[0] + 1
-                spans = []
-                for part in np.split(np.arange(len(pos)), cuts):
-                    ids = sorted({first[order[j]] for j in part} - {None})
-                    spans.append({"start": int(pos[part[0]]), "stop": int(pos[part[-1]]) + min_words, "redundant": bool(again[part[0]]), "first_ids": ids})
-                found.append(spans)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("redundant", pa.bool_()), ("first_ids", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "th", "spans"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = []
+                for cell in part.column(2).to_pylist():
+                    spans: list[dict] = []
+                    for row in sorted(cell, key=lambda r: (r["start"], r["stop"])):
+                        # Windows start from row.start to row.stop - min_words; the next window in line continues a passage.
+                        if spans and spans[-1]["redundant"] == row["again"] and row["start"] <= spans[-1]["stop"] - min_words + 1:
+                            spans[-1]["stop"] = max(spans[-1]["stop"], row["stop"])
+                            spans[-1]["first_ids"].add(row["first"])
+                        else:
+                            spans.append({"start": row["start"], "stop": row["stop"], "redundant": row["again"], "first_ids": {row["first"]}})
+                    found.append([s | {"first_ids": sorted(s["first_ids"] - {None})} for s in spans])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["id", "th", "spans"])
 
     return gathered.mapInArrow(of, shape)
 
@@ -179,13 +315,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     own = copies.select(F.col("id").alias("id2"), F.col("th").alias("th2"))
     same_row = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
     marked = materialise(marked.join(own, same_row, "left_anti"), "marked")
-    marked = marked.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at")
-    windows = materialise(_windows(frame.join(marked, same_row).select("id", "th", "text", "at"), min_words, gram), "dedup-windows")
-    place = F.struct("id", "th", "pos")
-    known = windows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("win", "first")
+    release(suffixes)
+    texts = frame.join(marked.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at"), same_row)
+    contexts = materialise(_contexts(texts.select("id", "th", "text", "at"), min_words, gram), "contexts")
+    release(marked)
+    matches = materialise(_matches(contexts, min_words, gram), "matches")
+    release(contexts)
+    # Windows at the ends of sorted parts meet in a join; of a frequent one the smallest place is found before the shuffle.
+    cut = matches.where("win is not null").select("win", "id", "th", "start", "stop", F.struct("id", "th", "start").alias("place"))
+    known = materialise(cut.groupBy("win").agg(F.min("place").alias("least"), F.max("place").alias("greatest")).where("least <> greatest").select("win", "least"), "cut-windows")
+    joined = cut.join(known, "win").select("id", "th", "start", "stop", F.col("least.id").alias("first"), (F.col("least") != F.col("place")).alias("again"))
+    again = matches.where("win is null").select("id", "th", "start", "stop", "first", "again").unionByName(joined)
     # Windows of a text with copies are repeated, though only one copy's windows are here.
-    again = windows.join(known, "win").select("id", "th", "pos", F.col("first.id").alias("first"), (F.col("first") != place).alias("again"))
-    gathered = again.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "first", "again")).alias("rows"))
+    gathered = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop", "first", "again")).alias("rows"))
     whole = copies.select("id", "th", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.lit(True).alias("redundant"), F.array_compact(F.array("least")).alias("first_ids"))).alias("spans"))
     kept = several.select(F.col("least").alias("id"), "th", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.lit(False).alias("redundant"), F.array_compact(F.array("least")).alias("first_ids"))).alias("spans"))
     spans = _spans(gathered, min_words).unionByName(kept).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -207,7 +349,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [without(t.as_py(), c.as_py()) if c.is_valid else None for t, c in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "left"])
 
-    done = joined.select("row", "text", F.transform("cuts", lambda s: F.array(s.start, s.stop)).alias("cuts")).mapInArrow(of, f"row {row_type}, left string")
+    done = joined.select("row", F.when(F.col("cuts").isNotNull(), F.col("text")).alias("text"), F.transform("cuts", lambda s: F.array(s.start, s.stop)).alias("cuts")).mapInArrow(of, f"row {row_type}, left string")
     kept = done.where("left is null or left <> ''")
     columns = []
     for field in docs.schema.fields:
