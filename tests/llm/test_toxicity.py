@@ -1,3 +1,4 @@
+import math
 import random
 
 from tests.llm.fixtures import SHAPE, documents, sentence
@@ -46,3 +47,41 @@ def test_drop_keeps_clean_rows_and_columns(spark):
 def test_without_labels_every_text_gets_the_prior(spark):
     model = toxicity.train(spark.createDataFrame(documents(), SHAPE), spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.score(["a", None, ""]).tolist() == [0.0, 0.0, 0.0]
+
+
+def plain_lengths(model, content, text):
+    """Compressed length of every window, one by one."""
+    data = toxicity._normal(text)
+    starts = range(0, max(1, len(data) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+    compressor = toxicity._compressor(content)
+    return [len(compressor.compress(data[i : i + toxicity.WINDOW])) if data else 0 for i in starts]
+
+
+def test_features_equal_a_plain_version():
+    rows, labels = corpus(300)
+    model = toxicity.fit([t for _, t in rows], [y for _, y in labels])
+    texts = [t for _, t in rows[:20]] + ["", "a", None, "x " * 500]
+    found = model.features([toxicity._normal(t) for t in texts])
+    for row, text in zip(found, texts):
+        gain = [a - b for a, b in zip(plain_lengths(model, model.ordinary, text), plain_lengths(model, model.toxic, text))]
+        for k, least in enumerate(toxicity.DIFFERENCES):
+            above = sum(g >= least for g in gain)
+            assert abs(row[2 * k] - math.log1p(above)) < 1e-9 and abs(row[2 * k + 1] - above / len(gain)) < 1e-9
+        assert row[-2] == max(gain) and abs(row[-1] - math.log(len(gain))) < 1e-9
+
+
+def test_each_class_has_its_own_dictionary():
+    rows, labels = corpus()
+    model = toxicity.fit([t for _, t in rows], [y for _, y in labels])
+    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    assert all(w in model.toxic[-toxicity.TAIL_BYTES :] for w in (b"wretchling", b"fumblewit", b"scoundrel"))
+    assert not any(w in model.ordinary[-toxicity.TAIL_BYTES :] for w in (b"wretchling", b"fumblewit", b"scoundrel"))
+
+
+def test_the_sample_is_bounded_and_repeats_are_settled(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame([*rows, *rows, (0, "another text"), (1, None)], "doc_id long, text string")
+    frame = spark.createDataFrame([*labels, *labels], "doc_id long, toxic int")
+    one, two = toxicity.train(docs, frame), toxicity.train(docs.repartition(7), frame)
+    assert one.toxic == two.toxic and one.prior == two.prior
+    assert toxicity.train(docs, frame, size=0).prior == 0.0

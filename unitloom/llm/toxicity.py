@@ -1,16 +1,18 @@
 """Toxicity by compression distance: windows that a dictionary of toxic text shortens more than one of ordinary text.
 
-Both zstandard dictionaries are trained on labelled texts. They share a body trained on ordinary windows, so that ordinary
-text compresses alike under either; each ends in the phrases that set its own class apart. The difference in compressed
-length, window by window, is near 0 for ordinary text. Counts of windows above three differences, their shares, the
-largest difference and the number of windows go into a logistic calibration fitted on labelled texts that the
-dictionaries have not seen.
+zstandard trains one dictionary on windows of toxic texts and one on windows of ordinary ones. Most of what either holds is
+common to both classes and only adds noise to short windows, so a trained dictionary is judged on labelled texts it has not
+seen: segments that shorten windows in clearly more texts of their own class stay. They follow a body common to both
+sides, trained on ordinary windows, so that ordinary text compresses alike under either. The difference in compressed length,
+window by window, is near 0 for ordinary text. Counts of windows above three differences, their shares, the largest
+difference and the number of windows go into a logistic calibration fitted on labelled texts that had no part in the
+dictionaries.
 """
 
 from __future__ import annotations
 
-import math
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,22 +21,29 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import table
+from unitloom.llm.common import materialise, release, table
 
-#: The classifier is fitted on the labelled training rows with the smallest hashes of doc_id, so many at most.
+#: The classifier is fitted on the labelled training rows with the smallest hashes of doc_id, so many at most, and so many bytes
+#: of text.
 SAMPLE_ROWS = 12_000
+SAMPLE_BYTES = 64 << 20
 BODY_BYTES = 32_768
 TAIL_BYTES = 512
 #: Windows of 64 bytes, 48 apart: each phrase of up to 16 bytes lies whole in one of them.
 WINDOW, STRIDE = 64, 48
 DIFFERENCES = (3, 5, 7)
-#: How many standard errors a word's share of texts must differ between the classes to end a dictionary.
-LEAST_CONTRAST = 3.5
-#: And which part of the most telling word's difference.
-LEAST_SHARE = 0.5
+#: A part of a trained dictionary is telling if so many standard errors part the shares of texts that it shortens.
+LEAST_CONTRAST = 3.0
+LEAST_GAIN = 3
+#: Trained dictionaries before the choice, and the segments they are made of.
+DRAFT_BYTES, SEGMENT = 4096, 24
+#: Share of its texts that a segment must keep when it is cut to whole words.
+KEPT_SHARE = 0.7
+#: Windows of each class and third by which dictionaries are trained and judged, at most.
+SAMPLE_WINDOWS = 20_000
 SLAB = 65_536
 BATCH_BYTES = 4 << 20
 
@@ -109,23 +118,98 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def _phrases(own: Counter, other: Counter, n_own: int, n_other: int, least: float, room: int) -> bytes:
-    """Words over-represented in a class, the most telling last, where matches cost least. Words far less telling than
-    the first are left out, since each adds noise to the lengths of ordinary windows."""
-
-    def contrast(word: bytes) -> float:
-        a, b = own[word] + 0.5, other[word] + 0.5
-        return math.log(a / (n_own + 1) * (n_other + 1) / b) / math.sqrt(1 / a + 1 / b)
-
-    picked: list[bytes] = []
-    size = 1
-    ranked = sorted((-contrast(w), w) for w, n in own.items() if n >= 3)
-    least = max(least, -ranked[0][0] * LEAST_SHARE) if ranked and least > 0 else least
-    for value, word in ranked:
-        if -value < least or size + len(word) + 1 > room:
+def _trained(windows: list[bytes]) -> bytes:
+    """What zstandard picks from the windows of one class."""
+    try:
+        return zstandard.train_dictionary(DRAFT_BYTES, windows, k=SEGMENT, d=8, level=3).as_bytes()[-DRAFT_BYTES:]
+    except zstandard.ZstdError:  # too little text to train on: the windows themselves
+        return b"".join(windows)[-DRAFT_BYTES:]
+
+
+class _Sample:
+    """Windows of texts of one class, with their compressed lengths under the common body."""
+
+    def __init__(self, texts: list[bytes], body: bytes) -> None:
+        chosen, total = [], 0
+        for text in texts:  # whole texts, so that a text's windows stand for it
+            count = max(1, -(-(len(text) - WINDOW) // STRIDE) + 1)
+            if count <= SAMPLE_WINDOWS // 8 and total + count <= SAMPLE_WINDOWS:
+                chosen.append(text)
+                total += count
+        self.texts = len(chosen)
+        self.buffer, self.places, first = _windows(chosen)
+        self.of = np.repeat(np.arange(len(chosen)), np.diff(first))
+        self.body = body
+        self.base = _lengths(_compressor(body), self.buffer, self.places)
+
+    def windows(self) -> list[bytes]:
+        return [self.buffer[a : a + n] for a, n in self.places.astype(np.int64).tolist()]
+
+    def gain(self, content: bytes, at: np.ndarray) -> np.ndarray:
+        return self.base[at] - _lengths(_compressor(self.body + content), self.buffer, self.places[at])
+
+    def shortened(self, content: bytes) -> np.ndarray:
+        return np.nonzero(self.gain(content, np.arange(len(self.base))) >= LEAST_GAIN)[0]
+
+
+def _whole_words(piece: bytes, text: bytes) -> list[bytes]:
+    """The runs of up to three words in ``piece``, shortest first; words cut at its ends are completed as they most often
+    go on in ``text``."""
+    for left in (True, False):
+        for _ in range(16):
+            edge = piece[:1] if left else piece[-1:]
+            if edge in (b" ", b""):
+                break
+            places = (m.start() for m in re.finditer(re.escape(piece), text))
+            beside = Counter(text[i - 1 : i] if left else text[i + len(piece) : i + len(piece) + 1] for i in places)
+            add = beside.most_common(1)[0][0] if beside else b""
+            piece = add + piece if left else piece + add
+            if not add:
+                break
+    words = piece.split()
+    runs = {b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    return sorted(runs, key=lambda r: (len(r), r))
+
+
+def _telling(draft: bytes, own: _Sample, other: _Sample) -> list[tuple[float, bytes]]:
+    """The parts of a trained dictionary that shorten windows in more texts of its own class than of the other one, by
+    ``LEAST_CONTRAST`` standard errors of the log ratio; neither sample was trained on. One after the other the best
+    segment is taken, cut to the words that do the work, and the windows it shortens are set aside."""
+    mine, theirs = own.shortened(draft), other.shortened(draft)
+    segments = [draft[i : i + SEGMENT] for i in range(0, max(1, len(draft) - SEGMENT + 1), SEGMENT // 2)]
+    hit = np.stack([own.gain(s, mine) >= LEAST_GAIN for s in segments])
+    miss = np.stack([other.gain(s, theirs) >= LEAST_GAIN for s in segments])
+
+    def texts(marks: np.ndarray, of: np.ndarray) -> np.ndarray:
+        seen = np.zeros((len(marks), of.max() + 1 if len(of) else 0), dtype=bool)
+        which, window = np.nonzero(marks)
+        seen[which, of[window]] = True
+        return seen.sum(axis=1)
+
+    text = b" ".join(own.windows())
+    found: list[tuple[float, bytes]] = []
+    while len(found) < len(segments):
+        a, b = texts(hit, own.of[mine]) + 0.5, texts(miss, other.of[theirs]) + 0.5
+        contrast = np.log(a / (own.texts + 1) * (other.texts + 1) / b) / np.sqrt(1 / a + 1 / b)
+        best = int(contrast.argmax())
+        if contrast[best] < LEAST_CONTRAST:
             break
-        picked.append(word)
-        size += len(word) + 1
+        at = mine[hit[best]]
+        needed = KEPT_SHARE * len(np.unique(own.of[at]))
+        # The shortest run that keeps most of the texts; a run has less around it, so a byte less is asked of it.
+        runs = (r for r in _whole_words(segments[best], text) if len(np.unique(own.of[at][own.gain(b" " + r + b" ", at) >= LEAST_GAIN - 1])) >= needed)
+        found.append((float(contrast[best]), next(runs, segments[best].strip())))
+        hit &= ~hit[best]
+        miss &= ~miss[best]
+    return found
+
+
+def _ending(found: list[tuple[float, bytes]], room: int) -> bytes:
+    """The most telling last, where matches cost least."""
+    picked: list[bytes] = []
+    for _, run in sorted(found, reverse=True):
+        if run not in picked and sum(map(len, picked)) + len(picked) + len(run) + 2 <= room:
+            picked.append(run)
     return b" " + b" ".join(reversed(picked)) + b" "
 
 
@@ -137,34 +221,42 @@ def _sketch(words: list[bytes]) -> set[tuple[int, int]]:
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
-    """Dictionaries from the even rows, calibration from the odd ones; the order of rows should be random."""
+    """Two thirds of the rows train and choose the dictionaries, each third judging what the other trained; the last third
+    calibrates. The order of rows should be random."""
     normal = [_normal(t) for t in texts]
     label = np.array(toxic, dtype=int)
     prior = float(label.mean()) if len(label) else 0.0
-    odd = np.arange(len(label)) % 2 == 1
-    if any(not ((label == x) & (odd == half)).any() for x in (0, 1) for half in (True, False)):
+    third = np.arange(len(label)) % 3
+    if any(not ((label == x) & (third == part)).any() for x in (0, 1) for part in range(3)):
         return ToxicityModel(prior)
     seen: set[tuple[int, int]] = set()
-    counts, sizes, ordinary = (Counter(), Counter()), [0, 0], []
-    for text, x in ((t, int(x)) for t, x, o in zip(normal, label, odd, strict=True) if not o):
-        sketch = _sketch(text.split())
-        if not sketch & seen:  # near copies of a text count once
-            counts[x].update(set(text.split()))
-            sizes[x] += 1
-            if not x:
-                ordinary.append(text)
-        seen |= sketch
-    toxic_tail = _phrases(counts[1], counts[0], sizes[1], sizes[0], LEAST_CONTRAST, TAIL_BYTES)
-    ordinary_tail = _phrases(counts[0], counts[1], sizes[0], sizes[1], -math.inf, len(toxic_tail)).rjust(len(toxic_tail))
-    buffer, windows, _ = _windows(ordinary)
+    own: dict[tuple[int, int], list[bytes]] = {(x, part): [] for x in (0, 1) for part in (0, 1)}
+    for text, x, part in zip(normal, label.tolist(), third.tolist(), strict=True):
+        if part < 2:
+            sketch = _sketch(text.split())
+            if not sketch & seen:  # near copies of a text count once
+                own[x, part].append(text)
+            seen |= sketch
+    buffer, windows, _ = _windows(own[0, 0] + own[0, 1] or [b""])
     chosen = random.Random(0).sample(range(len(windows)), min(len(windows), 60_000))
     samples = [buffer[a : a + n] for a, n in windows[sorted(chosen)].astype(np.int64).tolist()]
     try:
         body = zstandard.train_dictionary(BODY_BYTES, samples, level=3).as_bytes()[-BODY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on: the windows themselves
+    except zstandard.ZstdError:
         body = b"".join(samples)[-BODY_BYTES:]
-    model = ToxicityModel(prior, body + toxic_tail, body + ordinary_tail)
-    held = np.nonzero(odd)[0]
+    sampled = {key: _Sample(found, body) for key, found in own.items() if found}
+    drafts = {key: _trained(sample.windows()) for key, sample in sampled.items()}
+    ends = []
+    for x in (1, 0):
+        found = [f for part in (0, 1) if {(x, part), (x, 1 - part), (1 - x, 1 - part)} <= sampled.keys() for f in _telling(drafts[x, part], sampled[x, 1 - part], sampled[1 - x, 1 - part])]
+        ends.append(_ending(found, TAIL_BYTES))
+    width = max(map(len, ends))
+    for i, x in enumerate((1, 0)):  # both as long: the rest is the end of what the class trained
+        spare = width - len(ends[i])
+        draft = drafts.get((x, 0)) or drafts.get((x, 1)) or b""
+        ends[i] = (draft[len(draft) - spare :] if spare else b"").rjust(spare) + ends[i]
+    model = ToxicityModel(prior, body + ends[0], body + ends[1])
+    held = np.nonzero(third == 2)[0]
     features = np.concatenate([model.features([normal[i] for i in held[k : k + 500]]) for k in range(0, len(held), 500)])
     model.mean, model.spread = features.mean(axis=0), features.std(axis=0) + 1e-9
     x = np.column_stack([np.ones(len(held)), (features - model.mean) / model.spread])
@@ -176,13 +268,21 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents, those with the smallest hashes of their id; null ids and labels are not used."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Fit on the labelled documents with the smallest hashes of their id, at most ``rows`` of them and ``size`` bytes of text.
+
+    Null ids and labels are not used; of several labels of an id the greatest counts, of several texts the one with the
+    least hash; a null text is an empty one. Without labels, or with too few of either class, every text gets their mean.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.select("id", "y").orderBy(F.xxhash64("id"), "id").limit(rows)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "text", "y")
-    # Repeated ids could exceed the bound, so it is applied to the rows as well.
-    sample = picked.limit(2 * rows).toPandas().sort_values(["h", "id"], kind="stable")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    picked = materialise(picked.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    fits = picked.select("id", so_far.alias("bytes")).where(F.col("bytes") <= size).select("id")  # of ``rows`` sizes
+    sample = picked.join(F.broadcast(fits), "id").select(F.xxhash64("id").alias("h"), "id", "text", "y").toPandas().sort_values(["h", "id"], kind="stable")
+    release(picked)
     return fit(sample["text"].tolist(), (sample["y"] > 0).astype(int).tolist())
 
 
