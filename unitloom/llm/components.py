@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise
+from unitloom.llm.common import materialise, release
 
 
 def _by_smallest(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def _by_smallest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_by_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialise(_by_smallest(both), "edge-least")  # so that the join may split a node with most of the edges
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +37,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = materialise(_small_star(_large_star(edges)).distinct(), "edges")
+        after = materialise(_small_star(_large_star(edges)).distinct(), "edges")
+        release(edges)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break

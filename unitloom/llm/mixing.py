@@ -1,155 +1,136 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame functions alone touch the documents.
 
-The documents of a source form blocks of ``block`` rows. One block is placed in each slot. With weight w, the i-th block of
-a source (from 1) is released at slot floor((i - 1) / w) and due by slot ceil(i / w); of the blocks released, the one due
-first goes next. As the weights add up to 1, every block meets its window, so after any number of slots t each source has
-had w * t blocks with a deviation of less than one. Weights are whole multiples of 1 / Q, so the schedule of the first Q
-slots repeats for ever and only that template is computed, from counts per source. When a source has no block left, a new
-phase begins: the weights of the others are scaled up, and their windows start afresh.
+The documents of a source form blocks. One block is placed in each slot. With weight w, the i-th block of a source (from 1)
+is released at slot floor((i - 1) / w) and due by slot ceil(i / w); of the blocks released, the one due first goes next. As
+the weights add up to 1, every block meets its window, so after any number of slots t each source has had w * t blocks with
+a deviation of less than one. Weights are ratios of whole numbers, exactly as given, and so are the windows: nothing is
+rounded. When a source has no block left, a new phase begins: the weights of the others are scaled up, and their windows
+start afresh.
+
+The schedule is made for blocks, not rows: their size follows from the rows, so that a mixture of any size has
+``MOST_BLOCKS`` blocks at most beside one for each source, and the table of slots that meets the rows is bounded.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unitloom.llm.common import table
 
+#: Rows of a block, at least.
 BLOCK = 16
-RESOLUTION = 1000
-#: A mixture names its sources; more than so many are refused, which bounds every plan table.
-MOST_SOURCES = 1000
+#: Blocks of a mixture, about, beside the last one of each source.
+MOST_BLOCKS = 262_144
 #: Rows that share one bucket of the order within a source, about.
-BUCKET_ROWS = 20_000
-
-
-def shares(weights: list[float], resolution: int) -> list[int]:
-    """Whole parts of ``resolution`` by largest remainder, at least one each."""
-    total = sum(weights)
-    exact = [w / total * (resolution - len(weights)) for w in weights]
-    parts = [int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (parts[i] - exact[i], i))
-    for i in order[: resolution - len(weights) - sum(parts)]:
-        parts[i] += 1
-    return [p + 1 for p in parts]
-
-
-def template(parts: list[int]) -> list[int]:
-    """The source of each of the first ``sum(parts)`` slots, earliest deadline first among the released blocks."""
-    q = sum(parts)
-    waiting = [(0, i, 1) for i in range(len(parts))]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(q):
-        while waiting and waiting[0][0] <= slot:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * q // parts[i]), i, k))
-        due, i, k = heapq.heappop(ready)
-        assert due > slot
-        out.append(i)
-        if k < parts[i]:
-            heapq.heappush(waiting, (k * q // parts[i], i, k + 1))
-    return out
+BUCKET_ROWS = 4096
+
+
+def whole(weights: list) -> list[int]:
+    """Whole numbers in the proportion of ``weights`` (whole numbers, fractions, decimals or floats), without any loss: a float
+    is taken as the decimal it is written as."""
+    exact = [Fraction(str(w)) if isinstance(w, float) else Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    out = [int(x * scale) for x in exact]
+    shared = math.gcd(*out)
+    return [x // shared for x in out]
 
 
 @dataclass
 class Phase:
-    """From slot ``begin`` on, sources ``sources`` have ``parts``; each had ``before`` blocks placed earlier."""
+    """Slots ``begin`` to ``end``: sources ``sources`` have weights ``parts`` of their sum; each had ``before`` blocks earlier."""
 
     begin: int
     sources: list[int]
     parts: list[int]
     before: list[int]
-    slots: list[int]
     end: int = 0
 
 
-def plan(blocks: list[int], weights: list[float], resolution: int = RESOLUTION) -> list[Phase]:
-    """Phases for sources with so many blocks each. It ends when the last block is placed."""
-    left, phases, begin = list(blocks), [], 0
-    placed = [0] * len(blocks)
-    while active := [i for i, n in enumerate(left) if n]:
-        parts = shares([weights[i] for i in active], max(resolution, 2 * len(active)))
-        slots = template(parts)
-        q = len(slots)
-        at: list[list[int]] = [[] for _ in active]
-        for slot, j in enumerate(slots):
-            at[j].append(slot)
-        # The first slot that would take a block of a source that has none left.
-        length = min(left[i] // parts[j] * q + at[j][left[i] % parts[j]] for j, i in enumerate(active))
-        phases.append(Phase(begin, active, parts, [placed[i] for i in active], slots, begin + length))
-        for j, i in enumerate(active):
-            used = length // q * parts[j] + sum(s < length % q for s in at[j])
-            left[i] -= used
-            placed[i] += used
-        begin += length
-    return phases
-
-
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, resolution: int = RESOLUTION) -> DataFrame:
+def plan(blocks: list[int], weights: list) -> tuple[list[Phase], list[int]]:
+    """Phases for sources with so many blocks each, and the source of every slot: earliest deadline first among the
+    released blocks, ties to the earlier source."""
+    parts, placed = whole(weights), [0] * len(blocks)
+    phases: list[Phase] = []
+    slots: list[int] = []
+    while active := [i for i, n in enumerate(blocks) if placed[i] < n]:
+        total = sum(parts[i] for i in active)
+        begin, before = len(slots), list(placed)
+        waiting = [(0, i) for i in active]  # release (from the phase's begin) of each source's next block
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int]] = []  # deadline, source
+        while True:
+            now = len(slots) - begin
+            while waiting and waiting[0][0] <= now:
+                _, i = heapq.heappop(waiting)
+                k = placed[i] - before[i] + 1
+                heapq.heappush(ready, (-(-k * total // parts[i]), i))
+            if blocks[ready[0][1]] == placed[ready[0][1]]:  # the source next in turn has ended
+                break
+            due, i = heapq.heappop(ready)
+            assert due > now
+            slots.append(i)
+            placed[i] += 1
+            heapq.heappush(waiting, ((placed[i] - before[i]) * total // parts[i], i))
+        phases.append(Phase(begin, active, [parts[i] for i in active], [before[i] for i in active], len(slots)))
+    return phases, slots
+
+
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int | None = None) -> DataFrame:
     """Every row of ``docs``, packed in ``row``, with ``phase``, ``block`` (of its source, from 0), ``release`` and
     ``deadline`` (slots), ``slot`` and ``place`` (within the block). Reading by slot and place gives the mixture.
 
-    ``weights`` maps a source to its weight; by default it is the square root of the source's rows. A source without a
-    weight, or one of 0, is an error; a null source is a source of its own, named None. Within a source rows are ordered
-    by a hash of their id, then the id, then a hash of the whole row; equal rows may stand in either order. Null ids are
-    allowed; the last block of a source may be short; an empty table gives no rows. Nothing is dropped: once a source
-    ends, the rest go on in a later phase.
+    ``weights`` maps a source to its weight; by default it is the square root of the source's rows, to six decimals. A
+    source without a weight, or one of 0, is an error; a null source is a source of its own, named None. ``block`` is the
+    rows of a block; by default ``BLOCK``, or as many as keep the blocks to ``MOST_BLOCKS``. Within a source rows are
+    ordered by a hash of the whole row, then the id; equal rows may stand in either order. Null ids are allowed; the last
+    block of a source may be short; an empty table gives no rows. Nothing is dropped: once a source ends, the rest go on
+    in a later phase. What the driver holds follows the number of sources and ``MOST_BLOCKS``, not that of rows.
     """
+    spark = docs.sparkSession
     packed = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"))
-    hashed = packed.select("row", "source", "id", F.xxhash64("id").alias("h"))
-    counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).count().orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    hashed = packed.select("row", "source", "id", F.xxhash64("row").alias("h"))
+    counted = docs.groupBy(F.col(source_col).cast("string").alias("source")).count().orderBy("source").collect()  # one row a source, as the weights have
     if weights is not None and any(not weights.get(r["source"], 0) > 0 for r in counted):
         raise ValueError("every source needs a weight above 0")
-    wanted = [float(weights[r["source"]]) if weights else r["count"] ** 0.5 for r in counted]
-    phases = plan([-(-r["count"] // block) for r in counted], wanted, resolution) if counted else []
-    buckets = max(1, sum(r["count"] for r in counted) // BUCKET_ROWS)
+    rows = sum(r["count"] for r in counted)
+    block = block or max(BLOCK, -(-rows // MOST_BLOCKS))
+    wanted = [weights[r["source"]] if weights else max(1, math.isqrt(r["count"] * 10**12)) for r in counted]
+    phases, slots = plan([-(-r["count"] // block) for r in counted], wanted) if counted else ([], [])
     # A source may hold most rows: ranks are taken within buckets of the hash and shifted by the rows in earlier buckets.
-    spark = docs.sparkSession
+    buckets = max(1, rows // BUCKET_ROWS)
     in_bucket = hashed.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 34) * F.lit(buckets)) / F.lit(1 << 30)).cast("int"))
     sizes = in_bucket.groupBy("source", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "id", F.xxhash64("row")))
+    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "id"))
     ranked = in_bucket.withColumn("rank", rank).join(offsets, F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2")))
     n = F.col("before") + F.col("rank") - 1
     blocks = ranked.select("row", "source", F.floor(n / block).cast("long").alias("block"), (n % block).cast("int").alias("place"))
-    rows, slots = [], []
+    turns, done = [], [0] * len(counted)
     for p, phase in enumerate(phases):
-        seen: dict[int, int] = {}
-        for slot, j in enumerate(phase.slots):
-            k = seen.get(j, 0)
-            seen[j] = k + 1
-            slots.append((p, counted[phase.sources[j]]["source"], k, slot))
-        for j, i in enumerate(phase.sources):
-            after = phases[p + 1].before[phases[p + 1].sources.index(i)] if p + 1 < len(phases) and i in phases[p + 1].sources else -(-counted[i]["count"] // block)
-            rows.append((p, counted[i]["source"], phase.parts[j], len(phase.slots), phase.before[j], after, phase.begin))
-    spans = spark.createDataFrame(rows, "phase int, source2 string, parts long, q long, first long, stop long, begin long")
-    turns = spark.createDataFrame(slots, "phase2 int, source3 string, k long, turn long")
-    # Both tables come from at most MOST_SOURCES sources.
-    timed = blocks.join(F.broadcast(spans), F.col("source").eqNullSafe(F.col("source2")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop")))
-    i = F.col("block") - F.col("first")
-    timed = timed.withColumn("k2", i % F.col("parts"))
-    joined = timed.join(F.broadcast(turns) if len(slots) <= 1_000_000 else turns, (F.col("phase") == F.col("phase2")) & F.col("source").eqNullSafe(F.col("source3")) & (F.col("k2") == F.col("k")))
-    whole = lambda x, y: F.floor(x / y)  # noqa: E731  exact: both are far below 2^53
-    return joined.select(
-        "row", "phase", "block",
-        (F.col("begin") + whole(i * F.col("q"), F.col("parts"))).cast("long").alias("release"),
-        (F.col("begin") + whole((i + 1) * F.col("q") + F.col("parts") - 1, F.col("parts"))).cast("long").alias("deadline"),
-        (F.col("begin") + whole(i, F.col("parts")) * F.col("q") + F.col("turn")).cast("long").alias("slot"),
-        "place",
-    )
+        total, at = sum(phase.parts), {i: (part, first) for i, part, first in zip(phase.sources, phase.parts, phase.before, strict=True)}
+        for slot in range(phase.begin, phase.end):
+            i = slots[slot]
+            part, first = at[i]
+            k = done[i] - first
+            turns.append((p, counted[i]["source"], done[i], slot, phase.begin + k * total // part, phase.begin - (-(k + 1) * total // part)))
+            done[i] += 1
+    schedule = spark.createDataFrame(turns, "phase int, source3 string, block3 long, slot long, release long, deadline long")
+    # At most MOST_BLOCKS rows beside one for each source.
+    joined = blocks.join(F.broadcast(schedule), F.col("source").eqNullSafe(F.col("source3")) & (F.col("block") == F.col("block3")))
+    return joined.select("row", "phase", "block", "release", "deadline", "slot", "place")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mix(docs).select("row.doc_id", "row.source", "phase", "block", "release", "deadline", "slot", "place")
+    """The whole rows of documents in their mixture; a deadline may lie past the end of its phase."""
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "row.source", "row.text", "phase", "block", "release", "deadline", "slot", "place")
 
 
 QUERIES = {"op3_mixing": op3_mixing}

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, text_key
+from unitloom.llm.common import materialise, release, text_key
 from unitloom.llm.components import connected_components
+from unitloom.llm.suffix_dedup import grams, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,41 +36,66 @@ def shingles(text: str | None, size: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def _hashes(text: str | None, size: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s) for s in shingles(text, size)], dtype=np.uint64).view(np.int64))
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    words = word_hashes(text)
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()))], dtype=np.uint64).view(np.int64)
+    return np.unique(grams(words, size).view(np.int64))
 
 
-def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles in ascending order, and their counts."""
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so many ones fit a byte
+        ones += np.add.reduce(np.unpackbits(hashes[at : at + 255].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
+def survey(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """In one pass, for each distinct text its SimHash print (``kind`` 0: ``key``, ``value``) and the counts of shingles that are
+    common within a chunk of hashes (``kind`` 1: hash as ``key``, count as ``value``)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(values)], ["kind", "key", "value"])
+
         def counted(kept: list[np.ndarray]) -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(kept), return_counts=True)
             often = n >= LEAST_IN_CHUNK
-            return pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], ["h", "n"])
+            return rows(1, found[often], n[often].astype(np.int64))
 
-        seen: set[int] = set()
+        seen: set[int] = set()  # copies within a task count once
         kept, held = [np.zeros(0, np.int64)], 0
         for batch in batches:
+            keys, prints = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key not in seen:
                     seen.add(key)
-                    kept.append(_hashes(text.as_py(), size))
-                    held += len(kept[-1])
+                    own = shingle_hashes(text.as_py(), size)
+                    keys.append(key)
+                    prints.append(_majority(own))
+                    kept.append(own)
+                    held += len(own)
                     if held > CHUNK_HASHES:
                         yield counted(kept)
                         kept, held = [np.zeros(0, np.int64)], 0
+            yield rows(0, np.array(keys, np.int64), np.array(prints, np.int64))
         yield counted(kept)
 
-    rows = texts.mapInArrow(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas()
-    order = np.argsort(rows["h"].to_numpy(np.int64))
-    return rows["h"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order]
+    return materialise(texts.mapInArrow(of, "kind int, key long, value long"), "near-copy-survey", "kind")
+
+
+def _common(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles in ascending order, and their counts."""
+    counts = surveyed.where("kind = 1").groupBy("key").agg(F.sum("value").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).toPandas()
+    order = np.argsort(rows["key"].to_numpy(np.int64))
+    return rows["key"].to_numpy(np.int64)[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def _prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+def _prefixes(texts: DataFrame, size: int, threshold: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
     """``h``, ``key``, ``at`` (place of the shingle in the order), ``n`` (shingles of the text) for each prefix shingle."""
-    common, counts = _common(texts, size)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are keyed once
@@ -79,7 +105,7 @@ def _prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                h = _hashes(text.as_py(), size)
+                h = shingle_hashes(text.as_py(), size)
                 rank = np.zeros(len(h), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
@@ -95,56 +121,109 @@ def _prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     return texts.mapInArrow(of, "h long, key long, at int, n int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (``u``, ``v``) whose texts reach the threshold."""
-    asked = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    held = materialise(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]), "near-copy-texts")
-    sides = pairs.join(held.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+def _sharing(met: DataFrame) -> DataFrame:
+    """``u``, ``v`` for pairs that share prefix shingles, with the sizes, their number and the first and last places."""
+    ends = [f("at").alias(f"{name}_at") for f, name in ((F.min, "first"), (F.max, "last"))] + [f("at2").alias(f"{name}_at2") for f, name in ((F.min, "first"), (F.max, "last"))]
+    return met.groupBy(F.col("key").alias("u"), F.col("key2").alias("v")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"), *ends)
+
+
+def _possible(threshold: float, at: str, at2: str, before: Column) -> Column:
+    """Length and positional filter: ``before`` shingles are shared ahead of places ``at`` and ``at2``, where both have the same one,
+    and no more than what follows can be."""
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-6)
+    rest = F.least(F.col("n") - F.col(at), F.col("n2") - F.col(at2))
+    return (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-6) & (before + rest >= needed)
+
+
+def _held(texts: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """``key`` and ``hashes`` of all shingles of the texts asked for."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys, found = [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    if key != last:
+                        last = key
+                        keys.append(key)
+                        found.append(shingle_hashes(text.as_py(), size).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
+
+    found = texts.join(asked, "key", "left_semi").mapInArrow(hashed, "key long, hashes binary")
+    return materialise(found.groupBy("key").agg(F.first("hashes").alias("hashes")), "near-copy-hashes")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (``u``, ``v``: keys) whose texts reach the threshold, by all their shingles."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, b = None, set()
         for batch in batches:
             good = []
-            for v, one, other in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if v != last:
-                    last, b = v, shingles(other.as_py(), size)
-                a = shingles(one.as_py(), size)
-                both = len(a & b)
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(one.as_buffer(), np.int64), np.frombuffer(other.as_buffer(), np.int64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= round(threshold * (len(a) + len(b) - both), 9))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["u", "v"])
 
-    return sides.select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
+    sides = pairs.join(held.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
+    return materialise(sides.select("u", "v", "a", "b").mapInArrow(of, "u long, v long"), "near-copy-links")
 
 
-def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Length and positional filter on pairs of prefix entries that share a shingle."""
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-6)
-    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    length = F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-6
-    return pairs.where(length & (rest >= needed)).select(F.col("key").alias("u"), F.col("key2").alias("v")).distinct()
+def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(text_key(text).alias("key"), text.alias("text"))
 
 
-def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def _with_roots(entries: DataFrame, links: DataFrame) -> DataFrame:
+    classes = connected_components(links)
+    return entries.join(classes.withColumnRenamed("node", "key"), "key", "left").select(*entries.columns, F.coalesce("root", "key").alias("root"))
+
+
+def _open_buckets(entries: DataFrame) -> DataFrame:
+    """The entries of buckets that hold several classes, with the bucket's least entry."""
+    own = F.struct("key", "at", "n", "root")
+    apart = entries.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(own).alias("least")).where("lo <> hi").select("h", "least")
+    # Both sides are written, so that the join may split a bucket that most texts are in.
+    return entries.join(materialise(apart, "near-copy-least"), "h")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, likely: DataFrame | None = None, surveyed: DataFrame | None = None) -> DataFrame:
     """``key`` (``text_key`` of a text) and ``root`` (the smallest key of its class) for every text in a class of two or
     more; links of a similarity of ``threshold`` or more join a class.
 
-    Equal texts have one key and are no class by themselves. Blank texts are alike; texts shorter than a shingle are alike
-    if their words are equal. An empty table gives no rows.
+    ``likely`` (``u``, ``v``: keys) are pairs to verify first; what they join is not compared again. ``surveyed`` is a
+    ``survey`` of the texts. Equal texts have one key and are no class by themselves. Blank texts are alike; texts shorter
+    than a shingle are alike if their words are equal. An empty table gives no rows.
     """
-    text = F.col(text_col).cast("string")
-    texts = docs.select(text_key(text).alias("key"), text.alias("text"))
-    entries = _prefixes(texts, size, threshold).repartition("h").dropDuplicates(["h", "key"])
-    bucket = Window.partitionBy("h")
-    shared = entries.withColumn("shares", F.count("*").over(bucket)).where("shares > 1").withColumn("least", F.min(F.struct("key", "at", "n")).over(bucket))
-    shared = materialise(shared.select("h", "key", "at", "n", "least"), "near-copy-buckets")
-    star = _possible(shared.where("key <> least.key").select("key", "at", "n", F.col("least.key").alias("key2"), F.col("least.at").alias("at2"), F.col("least.n").alias("n2")), threshold)
-    star = materialise(star, "near-copy-stars")
-    links = materialise(_verified(star, texts, size, threshold), "near-copy-links")
-    classes = connected_components(links)
-    # Pairs of a bucket that the first comparisons leave apart.
-    classed = shared.select("h", "key", "at", "n").join(classes.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "at", "n", F.coalesce("root", "key").alias("root"))
-    open_ = materialise(classed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi").select("h", "key", "at", "n", "root"), "near-copy-open")
-    other = open_.select("h", *(F.col(c).alias(f"{c}2") for c in ("key", "at", "n", "root")))
-    apart = _possible(open_.join(other, "h").where("key > key2 and root <> root2"), threshold).join(star, ["u", "v"], "left_anti")
-    more = _verified(materialise(apart, "near-copy-pairs"), texts, size, threshold)
-    return materialise(connected_components(links.unionByName(more)), "near-copies").select(F.col("node").alias("key"), "root")
+    texts = keyed_texts(docs, text_col)
+    entries = materialise(_prefixes(texts, size, threshold, *_common(surveyed if surveyed is not None else survey(texts, size))), "near-copy-entries")
+    several = materialise(entries.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h"), "near-copy-several")
+    shared = materialise(entries.join(several, "h").distinct(), "near-copy-buckets")
+    release(entries, several)
+    # Any two similar texts share a prefix shingle, so only these texts can be alike.
+    asked = materialise(shared.select("key").distinct(), "near-copy-asked")
+    held = _held(texts, asked, size)
+    release(asked)
+    none = shared.select(F.col("key").alias("u"), F.col("key").alias("v")).where(F.lit(False))
+    known = _verified(likely, held, threshold) if likely is not None else none
+    rooted = materialise(_with_roots(shared, known), "near-copy-buckets")
+    star = _open_buckets(rooted).where("root <> least.root")
+    first = _sharing(star.select("key", "at", "n", F.col("least.key").alias("key2"), F.col("least.at").alias("at2"), F.col("least.n").alias("n2")))
+    first = materialise(first.where(_possible(threshold, "first_at", "first_at2", F.lit(0))).select("u", "v"), "near-copy-stars")
+    release(rooted)
+    known = materialise(known.unionByName(_verified(first, held, threshold)), "near-copy-known")
+    # Pairs of a bucket that the first comparisons leave in different classes. Here all shared prefix shingles of a pair count.
+    rooted = materialise(_with_roots(shared, known), "near-copy-buckets")
+    release(shared)
+    left = materialise(_open_buckets(rooted).drop("least"), "near-copy-open")
+    release(rooted)
+    other = left.select("h", *(F.col(c).alias(f"{c}2") for c in ("key", "at", "n", "root")))
+    pairs = _sharing(left.join(other, "h").where("key > key2 and root <> root2"))
+    some = pairs.where(_possible(threshold, "first_at", "first_at2", F.lit(0)) & _possible(threshold, "last_at", "last_at2", F.col("shared") - 1))
+    some = materialise(some.select("u", "v").join(first, ["u", "v"], "left_anti"), "near-copy-pairs")
+    release(left)
+    more = _verified(some, held, threshold)
+    release(held, some, first)
+    return connected_components(known.unionByName(more)).select(F.col("node").alias("key"), "root")

@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, table
+from unitloom.llm.common import materialise, release, table
 from unitloom.llm.components import connected_components
+from unitloom.llm.near_copies import SHINGLE, THRESHOLD, keyed_texts, near_copies, survey
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GENERATOR = 0b101011100011
@@ -154,6 +155,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "print").select("id", "print", "root")
 
 
+def similar_texts(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``key`` and ``root`` of the texts that have near copies, by similarity instead of print distance: texts of which a share of
+    ``threshold`` of the shingles agree (Jaccard) are linked.
+
+    Prints at most two bits apart are found by their Golay keys, as in ``near_duplicates``, and every text is verified
+    against the first of its class by all shingles. At a similarity of 0.8 prints differ in ten of 64 bits, beyond
+    the reach of any small number of keys, so what these classes leave apart is found by the exact set join of
+    ``near_copies``, which compares no pair again that stands in one class. Nulls, blank texts and empty tables as there.
+    """
+    texts = keyed_texts(docs, text_col)
+    surveyed = survey(texts, size)
+    prints = materialise(surveyed.where("kind = 0").select("key", F.col("value").alias("print")).distinct(), "text-prints")
+    classes = materialise(prints.groupBy("print").agg(F.min("key").alias("least")), "text-classes")
+    components = connected_components(print_links(classes)).withColumnRenamed("node", "print")
+    rooted = materialise(classes.join(components, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root")), "text-roots")
+    first = materialise(rooted.groupBy("root").agg(F.min("least").alias("v"), F.count("*").alias("prints")), "text-firsts")
+    pairs = prints.join(rooted, "print").join(first, "root").select(F.col("key").alias("u"), "v").where("u <> v")
+    likely = materialise(pairs, "text-pairs")
+    release(prints, classes, rooted, first)
+    return near_copies(docs, text_col, size, threshold, likely, surveyed)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))

@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` consecutive words."""
     n = len(hashes) - size + 1
     if n <= 0:
@@ -56,14 +56,39 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+SLAB = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(28))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """A 64-bit hash of every word (run of non-blank characters, A-Z as a-z) in order. Words are hashed all at once, by
+    sums of their bytes times powers, in slabs of a text that end at blanks."""
+    data = (text or "").encode().lower()
+    found, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + SLAB)
+        while stop < len(data) and not _BLANK[data[stop]]:
+            stop += 1
+        part = np.frombuffer(data, dtype=np.uint8, count=stop - at, offset=at)
+        edge = np.flatnonzero(np.diff(_BLANK[part], prepend=True, append=True))
+        begin, end = edge[::2], edge[1::2]
+        up, down = _powers(len(part))
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((part + np.uint64(1)) * up, dtype=np.uint64)))
+        found.append(_mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        at = stop
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
 def minimisers(hashes: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all grams, and for each window of ``min_words`` words the position of its minimiser."""
-    keys = _grams(hashes, gram)
+    keys = grams(hashes, gram)
     width = min_words - gram + 1
     if len(keys) < width:
         return keys, np.zeros(0, dtype=np.int64)
