@@ -1,4 +1,7 @@
-from tests.llm.fixtures import SHAPE, documents, plain
+import random
+import time
+
+from tests.llm.fixtures import SHAPE, documents, plain, sentence
 from unitloom.llm import decontaminate
 
 
@@ -40,3 +43,26 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame(documents(), SHAPE), spark.createDataFrame([], "item_id long, text string")
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(docs, bench).collect())
     assert decontaminate.contamination(spark.createDataFrame([], SHAPE), spark.createDataFrame(items(), "item_id long, text string")).collect() == []
+
+
+def test_work_follows_the_length_of_a_text(spark):
+    rng = random.Random(5)
+    words = sentence(rng, 400_000).split()
+    item = words[200_000:200_012]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    began = time.perf_counter()
+    found = decontaminate.contamination(docs, items).collect()
+    assert time.perf_counter() - began < 30
+    assert [(r["n_words"], r["n_hit"]) for r in found] == [(400_000, 12)]
+
+
+def test_a_full_table_of_bits_changes_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [sentence(rng, 60) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(t.split()[i : i + 14])) for i, t in enumerate(texts[::3])], "item_id long, text string")
+    columns = ["id", "n_words", "n_hit", "items"]
+    one = sorted(map(str, decontaminate.contamination(docs, items).select(columns).collect()))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 64)
+    assert one == sorted(map(str, decontaminate.contamination(docs, items).select(columns).collect()))

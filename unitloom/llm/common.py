@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Runs of characters that are neither ASCII letters (after lower-casing), digits nor beyond ASCII part words.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII characters that part words: all but letters and digits.
+APART = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +59,8 @@ def ascii_lower(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Words of letters, digits and characters beyond ASCII, A-Z lower-cased; a null text has none."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-
-
-def word_count(text: Column) -> Column:
-    """The number of ``plain_words`` without building them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+    spaced = F.translate(F.coalesce(text, F.lit("")), A_TO_Z + APART, A_TO_Z.lower() + " " * len(APART))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def text_key(text: Column) -> Column:

@@ -5,19 +5,22 @@ holds a window if it holds all its shingles in place, so containment is 1 and th
 (``n - ceil(1.0 * n) + 1 = 1``): only documents with that shingle can hold it. The place of the shingle fixes where the
 window would start (positional bound) and the words left and right of it must be there (length bound); then the words
 are compared.
+
+The documents are read once. Within each row a table of bits, one for the hash of each shingle of the benchmark, leaves the
+few places that matter, with the words around them; how rare a shingle is among all documents is counted on these.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, plain_words, table, text_key, word_count
+from unitloom.llm.common import materialise, plain_words, table, text_key
 
 WINDOW = 10
 SHINGLE = 5
-#: Benchmark shingles are broadcast in slabs of about so many eight-byte hashes; each slab is one pass over the documents.
-BROADCAST_SHINGLES = 4_000_000
+#: Bits of the table that every task receives, at most (2 MB); a fuller table lets more places through to the joins.
+MOST_BITS = 1 << 24
 
 
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -27,46 +30,65 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return words.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda s: F.slice("w", s, length))).alias("win"))
 
 
-def _shingles(words: str, size: int, k: int | None = None):
-    """Hashes of the shingles of a column of words, in order; none if there are fewer words."""
-    n = F.size(words) - size
-    return F.when(n < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size)))))
+def _shingle(words: str, i: Column, size: int) -> Column:
+    return F.xxhash64(F.slice(words, i + 1, F.lit(size)))
+
+
+def _starts(words: str, size: int) -> Column:
+    """Where shingles start; nowhere if there are fewer words."""
+    return F.when(F.size(words) >= size, F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
 
+def _bits(hashes: DataFrame) -> tuple[Column, int]:
+    """A constant array of 64-bit words with a bit for each ``h``, and how many bits it has."""
+    n = 1 << max(10, (16 * hashes.count()).bit_length())
+    n = min(n, MOST_BITS)
+    bit = F.pmod("h", F.lit(n))
+    rows = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).collect()
+    words = dict.fromkeys(range(n // 64), 0) | {r["word"]: r["bits"] for r in rows}
+    return F.from_json(F.lit("[" + ",".join(map(str, words.values())) + "]"), "array<bigint>"), n
 
-def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Where windows occur: ``id``, ``key`` (of the text), ``start``, ``win``; and the windows' items: ``win``, ``item``."""
+
+def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row of ``docs`` as ``id``, ``key`` (of the text), ``n_words``; where windows occur: ``id``, ``key``, ``start``, ``win``;
+    and the windows' items: ``win``, ``item``."""
     by_item = materialise(windows_of(items, item_col, item_text_col, window).distinct(), "windows")
     windows = by_item.select("win").distinct()
     sized = windows.select("win", F.least(F.size("win"), F.lit(shingle)).alias("g"))
     sizes = sorted(r.g for r in sized.select("g").distinct().collect())  # of 1 to ``shingle``
+    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), plain_words(F.col(text_col)).alias("w"))
+    if not sizes:
+        rows = source.select("id", "key", F.size("w").cast("long").alias("n_words"))
+        return rows, source.select("id", "key", F.lit(0).alias("start"), F.col("w").alias("win")).where(F.lit(False)), by_item
     parts = None
     for g in sizes:
-        some = sized.where(F.col("g") == g).select("win", F.posexplode(_shingles("win", g)).alias("off", "h"))
+        some = sized.where(F.col("g") == g).select("win", F.explode(_starts("win", g)).alias("off")).select("win", "off", _shingle("win", F.col("off"), g).alias("h"))
         parts = some if parts is None else parts.unionByName(some)
-    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), plain_words(F.col(text_col)).alias("w"))
-    if parts is None:
-        empty = source.select("id", "key", F.lit(0).alias("start"), F.col("w").alias("win")).where(F.lit(False))
-        return empty, by_item
     parts = materialise(parts, "window-shingles")
-    wanted = parts.select("h").distinct()
-    slabs = max(1, -(-wanted.count() // BROADCAST_SHINGLES))
-    found = None
-    for g in sizes:
-        placed = source.select("id", "key", "w", F.posexplode(_shingles("w", g)).alias("pos", "h"))
-        for slab in range(slabs):
-            probe = F.broadcast(wanted.where(F.pmod(F.col("h"), F.lit(slabs)) == slab))
-            left = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-            near = placed.join(probe, "h").select("id", "key", "h", "pos", left.alias("left"), F.slice("w", left + 1, F.col("pos") - left + window).alias("near"))
-            found = near if found is None else found.unionByName(near)
-    found = materialise(found, "shingle-places")
-    rarity = found.groupBy("h").agg(F.count("*").alias("n"))
-    prefix = parts.join(rarity, "h").groupBy("win").agg(F.min(F.struct("n", "h", "off")).alias("rarest")).select("win", "rarest.h", "rarest.off")
-    # A window one of whose shingles is nowhere occurs nowhere; its rarest shingle would have n = 0.
-    absent = parts.join(rarity, "h", "left_anti").select("win").distinct()
+    wanted = materialise(parts.select("h").distinct(), "wanted-shingles")
+    bits, n = _bits(wanted)
+
+    def near(g: int) -> Column:
+        def listed(i: Column) -> Column:
+            bit = F.pmod(_shingle("w", i, g), F.lit(n))
+            return F.bit_get(F.get(bits, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+
+        def place(i: Column) -> Column:
+            left = F.greatest(i - (window - 1), F.lit(0))
+            return F.struct(i.alias("pos"), _shingle("w", i, g).alias("h"), left.alias("left"), F.slice("w", left + 1, i - left + window).alias("near"))
+
+        return F.transform(F.filter(_starts("w", g), listed), place)
+
+    rows = materialise(source.select("id", "key", F.size("w").cast("long").alias("n_words"), F.concat(*(near(g) for g in sizes)).alias("places")), "shingle-places")
+    found = rows.select("id", "key", F.inline("places")).join(wanted, "h", "left_semi")
+    rarity = materialise(found.groupBy("h").agg(F.count("*").alias("n")), "shingle-counts")
+    # A window one of whose shingles is nowhere occurs nowhere; its rarest shingle has n = 0.
+    prefix = parts.join(rarity, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("rarest")).where("rarest.n > 0").select("win", "rarest.h", "rarest.off")
+    prefix = materialise(prefix, "window-prefixes")  # both sides are written, so the join may split a frequent shingle
     start = F.col("pos") - F.col("off")
-    candidates = found.join(prefix.join(absent, "win", "left_anti"), "h").where((start >= F.col("left")) & (start - F.col("left") + F.size("win") <= F.size("near")))
+    candidates = rows.select("id", "key", F.inline("places")).join(prefix, "h").where((start >= F.col("left")) & (start - F.col("left") + F.size("win") <= F.size("near")))
     held = candidates.where(F.slice("near", start - F.col("left") + 1, F.size("win")) == F.col("win"))
-    return held.select("id", "key", start.alias("start"), "win").distinct(), by_item
+    return rows.select("id", "key", "n_words"), held.select("id", "key", start.alias("start"), "win").distinct(), by_item
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -77,7 +99,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     with a null id hit words but are in no list; without items or documents nothing is hit. One row is one document's
     state: what is gathered per document is bounded by its own length.
     """
-    held, by_item = occurrences(docs, items, id_col, text_col, item_col, item_text_col, window, shingle)
+    every, held, by_item = occurrences(docs, items, id_col, text_col, item_col, item_text_col, window, shingle)
     held = materialise(held, "occurrences")
     spans = held.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", F.size("win").alias("length")))).alias("spans"))
     fold = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit")), lambda a, s: F.struct(F.greatest(a.end, s.start + s.length).alias("end"), (a.hit + F.greatest(F.lit(0), s.start + s.length - F.greatest(s.start, a.end))).alias("hit")))
@@ -85,14 +107,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spans = spans.select("id", "key", "spans", fold.hit.alias("n_hit"))
     hit = spans.join(listed.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "items"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
     hit = hit.select(F.col("id").alias("id3"), F.col("key").alias("key3"), "spans", "n_hit", "items")
-    every = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), word_count(F.col(text_col)).alias("n_words"))
     joined = every.join(hit, F.col("id").eqNullSafe(F.col("id3")) & (F.col("key") == F.col("key3")), "left")
     return joined.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of an item, with their columns."""
-    held, _ = occurrences(docs, items, id_col, text_col, item_col, item_text_col)
+    _, held, _ = occurrences(docs, items, id_col, text_col, item_col, item_text_col)
     hit = materialise(held.select(F.col("id").alias("id2"), F.col("key").alias("key2")).distinct(), "contaminated")
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
     return packed.join(hit, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left_anti").select("row.*")

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, plain_words, table, text_key, word_count
+from unitloom.llm.common import materialise, plain_words, table, text_key
 
 THRESHOLD = 0.8
 #: Label and text of each template.
@@ -31,7 +31,7 @@ TEMPLATES = {
 }
 #: Phrases that label a document wherever their words stand consecutively.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
-#: One word that every phrase ends with: only texts that contain it are cut into words.
+#: One word that every phrase ends with: only texts that hold it are searched.
 LAST_WORD = "license"
 PARAGRAPH_BREAK = r"\n[ \t\r]*\n+"
 
@@ -92,8 +92,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     met = matches(docs, templates, threshold, id_col, text_col).groupBy("id", "key").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max("share").alias("share"))
     met = met.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "found", "share")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), word_count(text).alias("n_words"), F.when(text.rlike(f"(?i){LAST_WORD}"), plain_words(text)).otherwise(F.array().cast("array<string>")).alias("words"))
-    own = own.select("id", "key", "n_words", _places("words").alias("places"))
+    own = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), plain_words(text).alias("words"))
+    places = F.when(F.array_contains("words", LAST_WORD), _places("words")).otherwise(F.array().cast("array<struct<at:bigint,label:string>>"))
+    own = own.select("id", "key", F.size("words").cast("long").alias("n_words"), places.alias("places"))
     joined = own.join(met, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
     return joined.select("id", "n_words", "places", F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("share", F.lit(0.0)).alias("share"))
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitloom.llm.common import materialise, release, table, text_key
@@ -99,6 +99,11 @@ def minimisers(hashes: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM)
     return keys, np.concatenate(parts)
 
 
+def _blank_parted(text: str) -> Column:
+    """How many words a text has."""
+    return F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), ""))
+
+
 def _frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("th"), text.alias("text"))
@@ -329,7 +334,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """
     frame = _frame(docs, id_col, text_col)
     same = ["th", "size", "crc"]
-    rows = frame.select("id", "th", F.length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).where(F.col("n") >= min_words)
+    rows = frame.select("id", "th", F.length("text").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"), _blank_parted("text").alias("n")).where(F.col("n") >= min_words)
     classes = rows.groupBy(*same).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.first("n").alias("n"))
     several = materialise(classes.where("not (least <=> most) or (nulls > 0 and least is not null)"), "copy-classes")
     copies = rows.join(several.drop("n"), same).where("not (id <=> least)").select("id", "th", "n", "least").distinct()
