@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm import decontaminate, mixing, suffix_dedup, toxicity
-from unitloom.llm import near_copies as near
+from unitloom.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
 from unitloom.llm.common import shared_dir, table, text_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 stay. The classifier is fitted on the labelled ones among ``docs``."""
+    """Documents scored below 0.5 stay. The classifier is fitted on the labelled ones among ``docs``; without labels of both
+    kinds all get their mean. Null and empty texts are scored like others; rows that are equal fare alike."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -22,7 +22,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decides); texts of which 0.8 of the five-word shingles agree (Jaccard) are linked. Rows are told apart by id and text:
     other texts under the same id, null or not, stand for themselves. Of rows equal in both one stays."""
     rows = docs.select(F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key")).distinct()
-    classed = rows.join(near.near_copies(docs).withColumnRenamed("key", "_key"), "_key", "left").select("_doc", "_key", F.coalesce("root", "_key").alias("_class"))
+    classed = rows.join(simhash.similar_texts(docs).withColumnRenamed("key", "_key"), "_key", "left").select("_doc", "_key", F.coalesce("root", "_key").alias("_class"))
     first = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("id"), F.col("_key").alias("key"))
     kept = classed.groupBy("_class").agg(F.min(first).alias("_first")).select(F.col("_first.id").alias("_id"), F.col("_first.key").alias("_text"))
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key"))
@@ -32,17 +32,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more stay only where they stand first; a document without any other words goes."""
+    """Passages of 50 words or more stay only where they stand first, by id, then the hash of the text; a document without any
+    other words goes, one that never had any stays. Rows equal in id and text are one text."""
     return suffix_dedup.cut_repeats(docs)
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot in the mixture."""
+    """All documents with their slot in the mixture; a null source is a source of its own."""
     found = mixing.mix(docs)
     return found.select("row.doc_id", "row.source", "row.text", "phase", "block", "slot", "place")
 
