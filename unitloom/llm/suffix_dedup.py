@@ -27,7 +27,7 @@ GRAM = 20
 #: Bytes of a word's hash by which suffixes are ordered and compared, word by word.
 SYMBOL = 6
 CONTEXT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("least", pa.int32()), ("most", pa.int32()), ("follow", pa.binary()), ("before", pa.binary())])
-MATCH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64()), ("again", pa.bool_()), ("win", pa.binary())])
+MATCH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64()), ("again", pa.bool_()), ("span", pa.binary()), ("wins", pa.list_(pa.binary()))])
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -233,9 +233,10 @@ def extend(follow: np.ndarray, before: np.ndarray, least: np.ndarray, most: np.n
 
 
 def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """Sorted suffixes compared with their neighbours. ``win`` null: ``start`` to ``stop`` stands elsewhere as well, first in
+    """Sorted suffixes compared with their neighbours. ``span`` null: ``start`` to ``stop`` stands elsewhere as well, first in
     ``first``. Suffixes that share their leading gram with the first or last of a sorted part may go on in another
-    part: of these every window is given out (``win``), to be compared by a join."""
+    part: each of these is given out once, with its place (``start``), the distance of its first window (``stop``) and the
+    hashes of all its words (``span``) and of each window (``wins``), to be compared by joins."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = min_words - gram
@@ -244,15 +245,15 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
             doc, th, pos = rows["id"].combine_chunks(), rows["th"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
             least, most = rows["least"].to_numpy().astype(np.int64), rows["most"].to_numpy().astype(np.int64)
             if not whole:
-                follow, before = rows["follow"].to_pylist(), rows["before"].to_pylist()
-                count = most - least + 1
-                own = np.repeat(np.arange(len(count)), count)
-                d = np.repeat(least, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                for at in range(0, len(own), 8192):
-                    i, far = own[at : at + 8192], d[at : at + 8192]
-                    win = [xxhash.xxh3_128_digest(before[r][: k * SYMBOL] + follow[r][: (min_words - k) * SYMBOL], k) for r, k in zip(i.tolist(), far.tolist(), strict=True)]
-                    start = pos[i] - far
-                    yield pa.RecordBatch.from_arrays([doc.take(pa.array(i)), pa.array(th[i]), pa.array(start.astype(np.int32)), pa.array((start + min_words).astype(np.int32)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.bool_()), pa.array(win, pa.binary())], MATCH.names)
+                kind = pa.list_(pa.binary())
+                for at in range(0, rows.num_rows, 1024):
+                    part = rows.slice(at, 1024)
+                    spans, wins = [], []
+                    for ahead, back, lo, hi in zip(part["follow"].to_pylist(), part["before"].to_pylist(), least[at : at + 1024].tolist(), most[at : at + 1024].tolist(), strict=True):
+                        spans.append(xxhash.xxh3_128_digest(back + ahead, lo << 32 | hi))
+                        wins.append([xxhash.xxh3_128_digest(back[: d * SYMBOL] + ahead[: (min_words - d) * SYMBOL], d) for d in range(lo, hi + 1)])
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([doc.slice(at, n), pa.array(th[at : at + n]), pa.array(pos[at : at + n].astype(np.int32)), pa.array(least[at : at + n].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(spans, pa.binary()), pa.array(wins, kind)], MATCH.names)
                 return
             number = doc.fill_null(0).to_numpy()
             rank = np.empty(len(pos), dtype=np.int64)
@@ -266,7 +267,7 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
             head = np.nonzero(fresh)[0]
             tail = np.concatenate((head[1:], [len(i)])) - 1
             own = pa.array(i[head])
-            yield pa.RecordBatch.from_arrays([doc.take(own), pa.array(th[i[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + min_words).astype(np.int32)), doc.take(pa.array(found[head])), pa.array(found[head] != i[head]), pa.nulls(len(head), pa.binary())], MATCH.names)
+            yield pa.RecordBatch.from_arrays([doc.take(own), pa.array(th[i[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + min_words).astype(np.int32)), doc.take(pa.array(found[head])), pa.array(found[head] != i[head]), pa.nulls(len(head), pa.binary()), pa.nulls(len(head), pa.list_(pa.binary()))], MATCH.names)
 
         held: list[pa.RecordBatch] = []  # from the start of a group on
         size, opening, before = 0, True, None
@@ -294,7 +295,7 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["follow", "before", "id", "th", "pos"]
-    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, win binary")
+    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, span binary, wins array<binary>")
 
 
 def _spans(gathered: DataFrame, min_words: int) -> DataFrame:
@@ -351,13 +352,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     release(marked)
     matches = materialise(_matches(contexts, min_words, gram), "matches")
     release(contexts)
-    # Windows at the ends of sorted parts meet in a join; of a frequent one the smallest place is found before the shuffle.
-    cut = matches.where("win is not null").select("win", "id", "th", "start", "stop", F.struct("id", "th", "start").alias("place"))
-    known = materialise(cut.groupBy("win").agg(F.min("place").alias("least"), F.max("place").alias("greatest")).where("least <> greatest").select("win", "least"), "cut-windows")
-    joined = cut.join(known, "win").select("id", "th", "start", "stop", F.col("least.id").alias("first"), (F.col("least") != F.col("place")).alias("again"))
-    again = matches.where("win is null").select("id", "th", "start", "stop", "first", "again").unionByName(joined)
+    # Suffixes at the ends of sorted parts: those with the same words are one before their windows are compared.
+    cut = matches.where("span is not null").select("span", "id", "th", F.col("start").alias("pos"), F.col("stop").alias("near"), "wins")
+    place = F.struct("id", "th", "pos")
+    alike = materialise(cut.groupBy("span").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("near").alias("near"), F.first("wins").alias("wins")), "cut-spans")
+    each = alike.select("span", "lo", "hi", "near", F.posexplode("wins").alias("k", "win"))
+    at = lambda end: F.struct(F.col(f"{end}.id").alias("id"), F.col(f"{end}.th").alias("th"), (F.col(f"{end}.pos") - F.col("near") - F.col("k")).alias("start"))
+    each = each.select("span", "k", "win", at("lo").alias("lo"), at("hi").alias("hi"))
+    known = materialise(each.groupBy("win").agg(F.min("lo").alias("least"), F.max("hi").alias("greatest")).where("least <> greatest").select("win", "least"), "cut-windows")
+    firsts = materialise(each.join(known, "win").groupBy("span").agg(F.collect_list(F.struct("k", "least")).alias("firsts")), "cut-firsts")
+
+    def match(f: Column) -> Column:
+        start = F.col("pos") - F.col("near") - f.k
+        own = F.struct(F.col("id").alias("id"), F.col("th").alias("th"), start.alias("start"))
+        return F.struct(start.alias("start"), (start + min_words).alias("stop"), f.least.id.alias("first"), (f.least != own).alias("again"))
+
+    joined = cut.drop("wins").join(firsts, "span").select("id", "th", F.transform("firsts", match).alias("rows"))
+    inside = matches.where("span is null").select("id", "th", F.array(F.struct("start", "stop", "first", "again")).alias("rows"))
     # Windows of a text with copies are repeated, though only one copy's windows are here.
-    gathered = again.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop", "first", "again")).alias("rows"))
+    gathered = inside.unionByName(joined).groupBy("id", "th").agg(F.flatten(F.collect_list("rows")).alias("rows"))
     whole = copies.select("id", "th", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.lit(True).alias("redundant"), F.array_compact(F.array("least")).alias("first_ids"))).alias("spans"))
     kept = several.select(F.col("least").alias("id"), "th", F.array(F.struct(F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"), F.lit(False).alias("redundant"), F.array_compact(F.array("least")).alias("first_ids"))).alias("spans"))
     spans = _spans(gathered, min_words).unionByName(kept).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
