@@ -105,11 +105,14 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     # A source may hold most rows: ranks are taken within buckets of the hash and shifted by the rows in earlier buckets.
     buckets = max(1, rows // BUCKET_ROWS)
     in_bucket = hashed.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 34) * F.lit(buckets)) / F.lit(1 << 30)).cast("int"))
-    sizes = in_bucket.groupBy("source", "bucket").count()
-    before = F.sum("count").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("source").alias("source2"), F.col("bucket").alias("bucket2"), F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "id"))
-    ranked = in_bucket.withColumn("rank", rank).join(offsets, F.col("source").eqNullSafe(F.col("source2")) & (F.col("bucket") == F.col("bucket2")))
+    # Plain keys, the same for the window and the join, so that whole rows are shuffled once.
+    in_bucket = in_bucket.withColumns({"unnamed": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    keys = ["unnamed", "name", "bucket"]
+    sizes = in_bucket.groupBy(*keys).count()
+    before = F.sum("count").over(Window.partitionBy("unnamed", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))
+    ranked = in_bucket.withColumn("rank", rank).join(offsets, keys)
     n = F.col("before") + F.col("rank") - 1
     blocks = ranked.select("row", "source", F.floor(n / block).cast("long").alias("block"), (n % block).cast("int").alias("place"))
     turns, done = [], [0] * len(counted)
