@@ -176,8 +176,16 @@ def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_key(text).alias("key"), text.alias("text"))
 
 
-def _with_roots(entries: DataFrame, links: DataFrame) -> DataFrame:
-    classes = connected_components(links)
+def _classes(links: DataFrame) -> DataFrame:
+    return materialise(connected_components(links), "near-copy-classes")
+
+
+def _ties(classes: DataFrame) -> DataFrame:
+    """Links that make up the same classes, one for each member: with new ones beside them these settle in few rounds."""
+    return classes.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def _with_roots(entries: DataFrame, classes: DataFrame) -> DataFrame:
     return entries.join(classes.withColumnRenamed("node", "key"), "key", "left").select(*entries.columns, F.coalesce("root", "key").alias("root"))
 
 
@@ -208,14 +216,15 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     release(asked)
     none = shared.select(F.col("key").alias("u"), F.col("key").alias("v")).where(F.lit(False))
     known = _verified(likely, held, threshold) if likely is not None else none
-    rooted = materialise(_with_roots(shared, known), "near-copy-buckets")
+    classes = _classes(known)
+    rooted = materialise(_with_roots(shared, classes), "near-copy-buckets")
     star = _open_buckets(rooted).where("root <> least.root")
     first = _sharing(star.select("key", "at", "n", F.col("least.key").alias("key2"), F.col("least.at").alias("at2"), F.col("least.n").alias("n2")))
     first = materialise(first.where(_possible(threshold, "first_at", "first_at2", F.lit(0))).select("u", "v"), "near-copy-stars")
     release(rooted)
-    known = materialise(known.unionByName(_verified(first, held, threshold)), "near-copy-known")
+    classes = _classes(_ties(classes).unionByName(_verified(first, held, threshold)))
     # Pairs of a bucket that the first comparisons leave in different classes. Here all shared prefix shingles of a pair count.
-    rooted = materialise(_with_roots(shared, known), "near-copy-buckets")
+    rooted = materialise(_with_roots(shared, classes), "near-copy-buckets")
     release(shared)
     left = materialise(_open_buckets(rooted).drop("least"), "near-copy-open")
     release(rooted)
@@ -226,4 +235,4 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     release(left)
     more = _verified(some, held, threshold)
     release(held, some, first)
-    return connected_components(known.unionByName(more)).select(F.col("node").alias("key"), "root")
+    return connected_components(_ties(classes).unionByName(more)).select(F.col("node").alias("key"), "root")
