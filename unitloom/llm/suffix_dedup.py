@@ -27,7 +27,7 @@ GRAM = 20
 #: Bytes of a word's hash by which suffixes are ordered and compared, word by word.
 SYMBOL = 6
 CONTEXT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("least", pa.int32()), ("most", pa.int32()), ("follow", pa.binary()), ("before", pa.binary())])
-MATCH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64()), ("again", pa.bool_()), ("span", pa.binary()), ("wins", pa.list_(pa.binary()))])
+MATCH = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64()), ("again", pa.bool_()), ("span", pa.binary()), ("wins", pa.list_(pa.binary())), ("places", pa.list_(pa.struct([("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])))])
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -235,8 +235,9 @@ def extend(follow: np.ndarray, before: np.ndarray, least: np.ndarray, most: np.n
 def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
     """Sorted suffixes compared with their neighbours. ``span`` null: ``start`` to ``stop`` stands elsewhere as well, first in
     ``first``. Suffixes that share their leading gram with the first or last of a sorted part may go on in another
-    part: each of these is given out once, with its place (``start``), the distance of its first window (``stop``) and the
-    hashes of all its words (``span``) and of each window (``wins``), to be compared by joins."""
+    part: of these, those with the same words stand side by side and are given out as one, with their ``places`` (1,024 at most
+    in a row), the distance of their first window (``stop``) and the hashes of all their words (``span``) and of each window
+    (``wins``), to be compared by joins."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = min_words - gram
@@ -245,15 +246,18 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
             doc, th, pos = rows["id"].combine_chunks(), rows["th"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
             least, most = rows["least"].to_numpy().astype(np.int64), rows["most"].to_numpy().astype(np.int64)
             if not whole:
-                kind = pa.list_(pa.binary())
                 for at in range(0, rows.num_rows, 1024):
                     part = rows.slice(at, 1024)
-                    spans, wins = [], []
-                    for ahead, back, lo, hi in zip(part["follow"].to_pylist(), part["before"].to_pylist(), least[at : at + 1024].tolist(), most[at : at + 1024].tolist(), strict=True):
-                        spans.append(xxhash.xxh3_128_digest(back + ahead, lo << 32 | hi))
-                        wins.append([xxhash.xxh3_128_digest(back[: d * SYMBOL] + ahead[: (min_words - d) * SYMBOL], d) for d in range(lo, hi + 1)])
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([doc.slice(at, n), pa.array(th[at : at + n]), pa.array(pos[at : at + n].astype(np.int32)), pa.array(least[at : at + n].astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(spans, pa.binary()), pa.array(wins, kind)], MATCH.names)
+                    columns = [part[name].to_pylist() for name in ("follow", "before", "least", "most", "id", "th", "pos")]
+                    found: list[dict] = []
+                    last = None
+                    for ahead, back, lo, hi, own, key, p in zip(*columns, strict=True):
+                        if (ahead, back) != last:
+                            last = ahead, back
+                            wins = [xxhash.xxh3_128_digest(back[: d * SYMBOL] + ahead[: (min_words - d) * SYMBOL], d) for d in range(lo, hi + 1)]
+                            found.append({"stop": lo, "span": xxhash.xxh3_128_digest(back + ahead, lo << 32 | hi), "wins": wins, "places": []})
+                        found[-1]["places"].append({"id": own, "th": key, "pos": p})
+                    yield pa.RecordBatch.from_pylist(found, MATCH)
                 return
             number = doc.fill_null(0).to_numpy()
             rank = np.empty(len(pos), dtype=np.int64)
@@ -267,7 +271,7 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
             head = np.nonzero(fresh)[0]
             tail = np.concatenate((head[1:], [len(i)])) - 1
             own = pa.array(i[head])
-            yield pa.RecordBatch.from_arrays([doc.take(own), pa.array(th[i[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + min_words).astype(np.int32)), doc.take(pa.array(found[head])), pa.array(found[head] != i[head]), pa.nulls(len(head), pa.binary()), pa.nulls(len(head), pa.list_(pa.binary()))], MATCH.names)
+            yield pa.RecordBatch.from_arrays([doc.take(own), pa.array(th[i[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + min_words).astype(np.int32)), doc.take(pa.array(found[head])), pa.array(found[head] != i[head]), *(pa.nulls(len(head), MATCH.field(name).type) for name in ("span", "wins", "places"))], MATCH.names)
 
         held: list[pa.RecordBatch] = []  # from the start of a group on
         size, opening, before = 0, True, None
@@ -295,7 +299,7 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["follow", "before", "id", "th", "pos"]
-    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, span binary, wins array<binary>")
+    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, span binary, wins array<binary>, places array<struct<id:bigint,th:bigint,pos:int>>")
 
 
 def _spans(gathered: DataFrame, min_words: int) -> DataFrame:
@@ -353,9 +357,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     matches = materialise(_matches(contexts, min_words, gram), "matches")
     release(contexts)
     # Suffixes at the ends of sorted parts: those with the same words are one before their windows are compared.
-    cut = matches.where("span is not null").select("span", "id", "th", F.col("start").alias("pos"), F.col("stop").alias("near"), "wins")
-    place = F.struct("id", "th", "pos")
-    alike = materialise(cut.groupBy("span").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("near").alias("near"), F.first("wins").alias("wins")), "cut-spans")
+    cut = matches.where("span is not null").select("span", F.col("stop").alias("near"), "wins", "places")
+    alike = materialise(cut.groupBy("span").agg(F.min(F.array_min("places")).alias("lo"), F.max(F.array_max("places")).alias("hi"), F.first("near").alias("near"), F.first("wins").alias("wins")), "cut-spans")
     each = alike.select("span", "lo", "hi", "near", F.posexplode("wins").alias("k", "win"))
     at = lambda end: F.struct(F.col(f"{end}.id").alias("id"), F.col(f"{end}.th").alias("th"), (F.col(f"{end}.pos") - F.col("near") - F.col("k")).alias("start"))
     each = each.select("span", "k", "win", at("lo").alias("lo"), at("hi").alias("hi"))
@@ -367,7 +370,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         own = F.struct(F.col("id").alias("id"), F.col("th").alias("th"), start.alias("start"))
         return F.struct(start.alias("start"), (start + min_words).alias("stop"), f.least.id.alias("first"), (f.least != own).alias("again"))
 
-    joined = cut.drop("wins").join(firsts, "span").select("id", "th", F.transform("firsts", match).alias("rows"))
+    met = cut.drop("wins").join(firsts, "span").select("near", "firsts", F.inline("places"))
+    joined = met.select("id", "th", F.transform("firsts", match).alias("rows"))
     inside = matches.where("span is null").select("id", "th", F.array(F.struct("start", "stop", "first", "again")).alias("rows"))
     # Windows of a text with copies are repeated, though only one copy's windows are here.
     gathered = inside.unionByName(joined).groupBy("id", "th").agg(F.flatten(F.collect_list("rows")).alias("rows"))
