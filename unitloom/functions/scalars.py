@@ -99,10 +99,14 @@ def words(text: Column) -> Column:
 
 
 def rfc3339(seconds: Column) -> Column:
-    """Unix seconds as UTC time; independent of the session's zone."""
+    """Unix seconds as UTC time; independent of the session's zone. Years beyond four digits are spelled in full, without a
+    sign, and those before year 0 with a minus, as by ``strftime``."""
     day, second = F.floor(seconds / 86400).cast("int"), F.pmod(seconds, F.lit(86400))
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    return F.concat(F.date_format(F.date_from_unix_date(day), "yyyy-MM-dd"), F.lit("T"), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60), F.lit("Z"))
+    date = F.date_from_unix_date(day)
+    year = F.year(date).cast("string")
+    year = F.when(F.year(date).between(0, 999), F.lpad(year, 4, "0")).otherwise(year)
+    return F.concat(year, F.lit("-"), two(F.month(date)), F.lit("-"), two(F.day(date)), F.lit("T"), two(F.floor(second / 3600)), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60), F.lit("Z"))
 
 
 def hex_encode(data: Column) -> Column:
