@@ -87,3 +87,13 @@ def test_alignment():
     assert "moved" in moved and "modified" not in moved
     long = [str(i) for i in range(2500)]
     assert alignment.changes(long, [*long[:5], "x", *long[6:]]) == [("modified", "[5]", 5, 5)]
+
+
+def test_rebuilding_calls_python_per_batch_not_per_key(spark):
+    flat = leaves(spark, *(f'{{"k": {i}, "l": [null, {{"m": "x{i}"}}]}}' for i in range(5000)))
+    back = nested.unflatten(flat.repartition(7), ["id"])
+    assert "FlatMapGroups" not in back._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["text"]) for r in back.collect()} == {(i, f'{{"k": {i}, "l": [null, {{"m": "x{i}"}}]}}') for i in range(5000)}
+    keyed = spark.createDataFrame([(None, 1.5, '{"a": 1}'), (2, float("nan"), None), (3, float("nan"), '{"a": "\\u00e9", "b": {}}')], "id long, x double, body string")
+    back = nested.unflatten(nested.flatten(keyed, ["id", "x"], "body"), ["id", "x"]).collect()
+    assert sorted((r["id"] or 0, str(r["x"]), r["text"]) for r in back) == [(0, "1.5", '{"a": 1}'), (3, "nan", '{"a": "é", "b": {}}')]

@@ -11,13 +11,14 @@ import math
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitloom.functions.scalars import float_text
 
 LEAF = "pos int, path string, segs array<struct<is_index:boolean,key:string,idx:int>>, type string, text string"
+SEGMENTS = pa.list_(pa.struct([("is_index", pa.bool_()), ("key", pa.string()), ("idx", pa.int32())]))
 
 
 def type_name(value: Any) -> str:
@@ -77,12 +78,20 @@ def flatten(df: DataFrame, key: list[str], text: str, read=json.loads) -> DataFr
     types = dict(df.dtypes)
     shape = ", ".join(f"`{k}` {types[k]}" for k in key) + f", {LEAF}"
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*r[:-1], *leaf) for r in batch.itertuples(index=False, name=None) if r[-1] is not None for leaf in flatten_value(limit_ints(read(r[-1])))]
-            yield pd.DataFrame(rows, columns=[*key, "pos", "path", "segs", "type", "text"])
+            own, leaves = [], []
+            for i, cell in enumerate(batch.column(len(key)).to_pylist()):
+                if cell is not None:
+                    found = flatten_value(limit_ints(read(cell)))
+                    own += [i] * len(found)
+                    leaves += found
+            pos, path, segs, kind, text = zip(*leaves, strict=True) if leaves else ((),) * 5
+            columns = [pa.array(pos, pa.int32()), pa.array(path, pa.string()), pa.array(segs, SEGMENTS), pa.array(kind, pa.string()), pa.array(text, pa.string())]
+            at = pa.array(own, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(key)]), *columns], [*key, "pos", "path", "segs", "type", "text"])
 
-    return df.select(*key, text).mapInPandas(of, shape)
+    return df.select(*key, text).mapInArrow(of, shape)
 
 
 def flatten_json(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -154,13 +163,24 @@ def unflatten(leaves: DataFrame, key: list[str], write=None) -> DataFrame:
     types = dict(leaves.dtypes)
     shape = ", ".join(f"`{k}` {types[k]}" for k in key) + ", text string"
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        value = rebuild((list(s), t, None if x is None or isinstance(x, float) and pd.isna(x) else x) for s, t, x in zip(rows["segs"], rows["type"], rows["text"], strict=True))
-        text = write(value) if write else json.dumps(_spell(value), ensure_ascii=False)
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), text]], columns=[*key, "text"])
-
-    return leaves.groupBy(*key).applyInPandas(of, shape)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            cells = batch.column(len(key))
+            held, kinds, values = cells.values.flatten()
+            names = held.values.flatten()
+            every = [{"is_index": a, "key": b, "idx": c} for a, b, c in zip(*(n.to_pylist() for n in names), strict=True)]
+            ends = held.offsets.to_pylist()
+            leaves = [(every[a:b], kind, text) for a, b, kind, text in zip(ends[:-1], ends[1:], kinds.to_pylist(), values.to_pylist(), strict=True)]
+            edges = cells.offsets.to_pylist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                value = rebuild(leaves[a:b])
+                texts.append(write(value) if write else json.dumps(_spell(value), ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(texts, pa.string())], [*key, "text"])
+
+    # A null place comes last.
+    gathered = leaves.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").isNull().alias("last"), "pos", "segs", "type", "text"))).alias("leaves"))
+    return gathered.select(*key, F.transform("leaves", lambda r: F.struct(r["segs"].alias("segs"), r["type"].alias("type"), r["text"].alias("text"))).alias("leaves")).mapInArrow(of, shape)
 
 
 def under(path: Column, prefix: str) -> Column:
