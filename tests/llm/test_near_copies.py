@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.fixtures import SHAPE, documents, sentence
+from unitloom.llm.common import CLEANUP, materialise, release
 from unitloom.llm.near_copies import near_copies, shingles
 
 
@@ -61,3 +64,13 @@ def test_stage_drops_copies_of_similarity_above_the_threshold(spark, tmp_path):
     assert 0.8 <= len(shingles(base) & shingles(near)) / len(shingles(base) | shingles(near)) < 0.95
     docs = spark.createDataFrame([(1, base), (2, near), (3, sentence(rng, 200))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_what_is_shuffled_for_a_table_goes_when_it_is_written(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager()
+    shuffled = lambda: sum(manager.diskBlockManager().getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(manager.diskBlockManager().getAllFiles().size()))
+    spark.range(10).groupBy(F.col("id") % 3).count().collect()
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    kept = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert shuffled() <= before and spark.conf.get(CLEANUP) == setting and kept.count() == 7
+    release(kept)

@@ -31,14 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. What was
+    shuffled for it is deleted as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/unitloom-{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back

@@ -135,27 +135,32 @@ def _possible(threshold: float, at: str, at2: str, before: Column) -> Column:
     return (F.least("n", "n2") >= F.lit(threshold) * F.greatest("n", "n2") - 1e-6) & (before + rest >= needed)
 
 
-def _held(texts: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """``key`` and ``hashes`` of all shingles of the texts asked for."""
+def _held(texts: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``row`` and ``hashes`` of all shingles of the texts in ``pairs``, and one ``row`` for each ``key``: so the hashes need not
+    be moved to tell copies, which stand once for each task."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys, found = [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    if key != last:
-                        last = key
+                    if key not in seen:
+                        seen.add(key)
                         keys.append(key)
                         found.append(shingle_hashes(text.as_py(), size).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
 
+    asked = materialise(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-copy-asked")
     found = texts.join(asked, "key", "left_semi").mapInArrow(hashed, "key long, hashes binary")
-    return materialise(found.groupBy("key").agg(F.first("hashes").alias("hashes")), "near-copy-hashes")
+    held = materialise(found.withColumn("row", F.monotonically_increasing_id()), "near-copy-hashes")
+    chosen = materialise(held.groupBy("key").agg(F.min("row").alias("row")), "near-copy-chosen")
+    release(asked)
+    return held, chosen
 
 
-def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Those of ``pairs`` (``u``, ``v``: keys) whose texts reach the threshold, by all their shingles."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +172,14 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
                 good.append(both >= round(threshold * (len(a) + len(b) - both), 9))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["u", "v"])
 
-    sides = pairs.join(held.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col("hashes").alias("b")), "v")
-    return materialise(sides.select("u", "v", "a", "b").mapInArrow(of, "u long, v long"), "near-copy-links")
+    held, chosen = _held(texts, pairs, size)
+    named = pairs.select("u", "v")
+    for end, row in (("u", "row_u"), ("v", "row_v")):
+        named = named.join(chosen.select(F.col("key").alias(end), F.col("row").alias(row)), end)
+    sides = named.join(held.select(F.col("row").alias("row_u"), F.col("hashes").alias("a")), "row_u").join(held.select(F.col("row").alias("row_v"), F.col("hashes").alias("b")), "row_v")
+    found = materialise(sides.select("u", "v", "a", "b").mapInArrow(of, "u long, v long"), "near-copy-links")
+    release(held, chosen)
+    return found
 
 
 def keyed_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -210,19 +221,15 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     several = materialise(entries.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h"), "near-copy-several")
     shared = materialise(entries.join(several, "h").distinct(), "near-copy-buckets")
     release(entries, several)
-    # Any two similar texts share a prefix shingle, so only these texts can be alike.
-    asked = materialise(shared.select("key").distinct(), "near-copy-asked")
-    held = _held(texts, asked, size)
-    release(asked)
     none = shared.select(F.col("key").alias("u"), F.col("key").alias("v")).where(F.lit(False))
-    known = _verified(likely, held, threshold) if likely is not None else none
+    known = _verified(likely, texts, size, threshold) if likely is not None else none
     classes = _classes(known)
     rooted = materialise(_with_roots(shared, classes), "near-copy-buckets")
     star = _open_buckets(rooted).where("root <> least.root")
     first = _sharing(star.select("key", "at", "n", F.col("least.key").alias("key2"), F.col("least.at").alias("at2"), F.col("least.n").alias("n2")))
     first = materialise(first.where(_possible(threshold, "first_at", "first_at2", F.lit(0))).select("u", "v"), "near-copy-stars")
     release(rooted)
-    classes = _classes(_ties(classes).unionByName(_verified(first, held, threshold)))
+    classes = _classes(_ties(classes).unionByName(_verified(first, texts, size, threshold)))
     # Pairs of a bucket that the first comparisons leave in different classes. Here all shared prefix shingles of a pair count.
     rooted = materialise(_with_roots(shared, classes), "near-copy-buckets")
     release(shared)
@@ -233,6 +240,6 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     some = pairs.where(_possible(threshold, "first_at", "first_at2", F.lit(0)) & _possible(threshold, "last_at", "last_at2", F.col("shared") - 1))
     some = materialise(some.select("u", "v").join(first, ["u", "v"], "left_anti"), "near-copy-pairs")
     release(left)
-    more = _verified(some, held, threshold)
-    release(held, some, first)
+    more = _verified(some, texts, size, threshold)
+    release(some, first)
     return connected_components(_ties(classes).unionByName(more)).select(F.col("node").alias("key"), "root")
