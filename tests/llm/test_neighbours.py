@@ -63,3 +63,12 @@ def test_bounds_hold():
     true = q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)
     bound = neighbours.ERROR_WIDTH * np.sqrt(1 / a.astype(float) ** 2 - 1) / np.sqrt(63)
     assert (np.abs(estimate - true) <= bound).mean() > 0.995
+
+
+def test_no_side_is_broadcast(spark):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 16)))], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(frame.repartition(5), frame.where("vec_id % 50 = 0"))
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan

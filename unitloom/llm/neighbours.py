@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import table
+from unitloom.llm.common import materialise, table
 
 K = 5
 ERROR_WIDTH = 3.0
@@ -146,11 +146,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
         return vectors.sparkSession.createDataFrame([], shape).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     d = length["n"]
     turn = rotation(d)
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _packed(good.where(F.size("v") == d), turn, BLOCK_VECTORS, k).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    blocks = materialise(_packed(good.where(F.size("v") == d), turn, BLOCK_VECTORS, k), "neighbour-blocks")
     asked = _packed(clean(queries).where(F.size("v") == d).dropDuplicates(["id"]), turn, BLOCK_QUERIES, None)
-    # A stated set of queries against all rows, block by block: each block of queries goes to every slot.
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("slot"))
+    asked = materialise(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "neighbour-queries")
+    # A stated set of queries against all rows, part by part of both files: neither side is broadcast, which the driver would
+    # have to hold, nor copied for each part of the other.
+    met = blocks.hint("shuffle_replicate_nl").crossJoin(asked)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    pairs = blocks.join(asked, "slot").select("q_ids", "q_vectors", "ids", "vectors", "codes", "corrections").mapInArrow(of, shape)
+    pairs = met.select("q_ids", "q_vectors", "ids", "vectors", "codes", "corrections").mapInArrow(of, shape)
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
