@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from tests.llm.fixtures import SHAPE, documents, sentence
 from unitloom.llm import toxicity
 
@@ -85,3 +87,14 @@ def test_the_sample_is_bounded_and_repeats_are_settled(spark):
     one, two = toxicity.train(docs, frame), toxicity.train(docs.repartition(7), frame)
     assert one.toxic == two.toxic and one.prior == two.prior
     assert toxicity.train(docs, frame, size=0).prior == 0.0
+
+
+def test_the_last_word_of_a_dictionary_shortens_windows():
+    rng = random.Random(3)
+    body = " ".join(sentence(rng, 50) for _ in range(20))
+    texts = []
+    for _ in range(60):
+        a, b = rng.sample(range(len(body) - 30), 2)
+        texts.append(toxicity._normal(f"{body[a : a + 26].strip()} wretch {body[b : b + 18].strip()}"))
+    sample = toxicity._Sample(texts, toxicity._normal(body))
+    assert (sample.gain(b" wretch ", np.arange(60)) >= 2).mean() > 0.5

@@ -2,11 +2,11 @@
 
 zstandard trains one dictionary on windows of toxic texts and one on windows of ordinary ones. Most of what either holds is
 common to both classes and only adds noise to short windows, so a trained dictionary is judged on labelled texts it has not
-seen: segments that shorten windows in clearly more texts of their own class stay. They follow a body common to both
-sides, trained on ordinary windows, so that ordinary text compresses alike under either. The difference in compressed length,
-window by window, is near 0 for ordinary text. Counts of windows above three differences, their shares, the largest
-difference and the number of windows go into a logistic calibration fitted on labelled texts that had no part in the
-dictionaries.
+seen: words that shorten windows in clearly more texts of their own class stay. Texts that these leave alone train the next
+dictionary, so that words of rarer languages come up too. The words follow a body common to both sides, trained on ordinary
+windows, so that ordinary text compresses alike under either. The difference in compressed length, window by window, is
+near 0 for ordinary text. Counts of windows above three differences, their shares, the largest difference and the number of
+windows go into a logistic calibration fitted on labelled texts that had no part in the dictionaries.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ WINDOW, STRIDE = 64, 48
 DIFFERENCES = (3, 5, 7)
 #: A part of a trained dictionary is telling if so many standard errors part the shares of texts that it shortens.
 LEAST_CONTRAST = 3.0
+#: zstandard does not look up matches that begin in the last eight bytes of a dictionary: something else has to stand there.
+FILL = b" " * 8
 LEAST_GAIN = 3
 #: Trained dictionaries before the choice, and the segments they are made of.
 DRAFT_BYTES, SEGMENT = 4096, 24
-#: Share of its texts that a segment must keep when it is cut to whole words.
-KEPT_SHARE = 0.7
+#: Drafts of a class, one after the other: each is trained on the texts that the earlier ones' telling parts do not shorten.
+DRAFTS = 4
 #: Windows of each class and third by which dictionaries are trained and judged, at most.
 SAMPLE_WINDOWS = 20_000
 SLAB = 65_536
@@ -142,19 +144,24 @@ class _Sample:
         self.body = body
         self.base = _lengths(_compressor(body), self.buffer, self.places)
 
-    def windows(self) -> list[bytes]:
-        return [self.buffer[a : a + n] for a, n in self.places.astype(np.int64).tolist()]
+    def windows(self, of: np.ndarray | None = None) -> list[bytes]:
+        """All windows, or those of the texts numbered ``of``."""
+        places = self.places if of is None else self.places[np.isin(self.of, of)]
+        return [self.buffer[a : a + n] for a, n in places.astype(np.int64).tolist()]
+
+    def untouched(self, content: bytes) -> np.ndarray:
+        """The texts none of whose windows ``content`` shortens."""
+        return np.setdiff1d(np.arange(self.texts), self.of[self.shortened(content)])
 
     def gain(self, content: bytes, at: np.ndarray) -> np.ndarray:
-        return self.base[at] - _lengths(_compressor(self.body + content), self.buffer, self.places[at])
+        return self.base[at] - _lengths(_compressor(self.body + content + FILL), self.buffer, self.places[at])
 
     def shortened(self, content: bytes) -> np.ndarray:
         return np.nonzero(self.gain(content, np.arange(len(self.base))) >= LEAST_GAIN)[0]
 
 
 def _whole_words(piece: bytes, text: bytes) -> list[bytes]:
-    """The runs of up to three words in ``piece``, shortest first; words cut at its ends are completed as they most often
-    go on in ``text``."""
+    """The words in ``piece``; those cut at its ends are completed as they most often go on in ``text``."""
     for left in (True, False):
         for _ in range(16):
             edge = piece[:1] if left else piece[-1:]
@@ -166,44 +173,66 @@ def _whole_words(piece: bytes, text: bytes) -> list[bytes]:
             piece = add + piece if left else piece + add
             if not add:
                 break
-    words = piece.split()
-    runs = {b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-    return sorted(runs, key=lambda r: (len(r), r))
+    return piece.split()
 
 
 def _telling(draft: bytes, own: _Sample, other: _Sample) -> list[tuple[float, bytes]]:
-    """The parts of a trained dictionary that shorten windows in more texts of its own class than of the other one, by
-    ``LEAST_CONTRAST`` standard errors of the log ratio; neither sample was trained on. One after the other the best
-    segment is taken, cut to the words that do the work, and the windows it shortens are set aside."""
+    """The words of a trained dictionary that shorten windows in more texts of its own class than of the other one, by
+    ``LEAST_CONTRAST`` standard errors of the log ratio; neither sample was trained on. Segments that tell half as much
+    name the words; one after the other the best word is taken, and the windows it shortens are set aside."""
     mine, theirs = own.shortened(draft), other.shortened(draft)
-    segments = [draft[i : i + SEGMENT] for i in range(0, max(1, len(draft) - SEGMENT + 1), SEGMENT // 2)]
-    hit = np.stack([own.gain(s, mine) >= LEAST_GAIN for s in segments])
-    miss = np.stack([other.gain(s, theirs) >= LEAST_GAIN for s in segments])
+    if not len(mine):
+        return []
+
+    def marks(pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.stack([own.gain(p, mine) >= least for p in pieces]), np.stack([other.gain(p, theirs) >= least for p in pieces])
 
-    def texts(marks: np.ndarray, of: np.ndarray) -> np.ndarray:
-        seen = np.zeros((len(marks), of.max() + 1 if len(of) else 0), dtype=bool)
-        which, window = np.nonzero(marks)
-        seen[which, of[window]] = True
-        return seen.sum(axis=1)
+    def contrast(hit: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        def texts(found: np.ndarray, of: np.ndarray) -> np.ndarray:
+            seen = np.zeros((len(found), of.max() + 1 if len(of) else 0), dtype=bool)
+            which, window = np.nonzero(found)
+            seen[which, of[window]] = True
+            return seen.sum(axis=1) + 0.5
 
+        a, b = texts(hit, own.of[mine]), texts(miss, other.of[theirs])
+        return np.log(a / (own.texts + 1) * (other.texts + 1) / b) / np.sqrt(1 / a + 1 / b)
+
+    segments = [draft[i : i + SEGMENT] for i in range(0, max(1, len(draft) - SEGMENT + 1), SEGMENT // 2)]
     text = b" ".join(own.windows())
+    named = [s for s, c in zip(segments, contrast(*marks(segments, LEAST_GAIN)), strict=True) if c >= LEAST_CONTRAST / 2]
+    words = sorted({w for s in named for w in _whole_words(s, text)})
     found: list[tuple[float, bytes]] = []
-    while len(found) < len(segments):
-        a, b = texts(hit, own.of[mine]) + 0.5, texts(miss, other.of[theirs]) + 0.5
-        contrast = np.log(a / (own.texts + 1) * (other.texts + 1) / b) / np.sqrt(1 / a + 1 / b)
-        best = int(contrast.argmax())
-        if contrast[best] < LEAST_CONTRAST:
+    if not words:
+        return found
+    # A word has less around it than a segment, so a byte less is asked of it.
+    hit, miss = marks([b" " + w + b" " for w in words], LEAST_GAIN - 1)
+    while len(found) < len(words):
+        told = contrast(hit, miss)
+        best = int(told.argmax())
+        if told[best] < LEAST_CONTRAST:
             break
-        at = mine[hit[best]]
-        needed = KEPT_SHARE * len(np.unique(own.of[at]))
-        # The shortest run that keeps most of the texts; a run has less around it, so a byte less is asked of it.
-        runs = (r for r in _whole_words(segments[best], text) if len(np.unique(own.of[at][own.gain(b" " + r + b" ", at) >= LEAST_GAIN - 1])) >= needed)
-        found.append((float(contrast[best]), next(runs, segments[best].strip())))
+        found.append((float(told[best]), words[best]))
         hit &= ~hit[best]
         miss &= ~miss[best]
     return found
 
 
+def _drafted(train: _Sample, own: _Sample, other: _Sample) -> list[tuple[float, bytes]]:
+    """The telling parts of dictionaries trained on ``train``. The most frequent words of a class fill the first dictionary; what is
+    telling in fewer texts, such as those of a rarer language, comes up in one trained on the texts left over."""
+    found: list[tuple[float, bytes]] = []
+    left = np.arange(train.texts)
+    for _ in range(DRAFTS):
+        more = _telling(_trained(train.windows(left)), own, other)
+        fresh = [f for f in more if f[1] not in {run for _, run in found}]
+        found += fresh
+        rest = train.untouched(_ending(found, TAIL_BYTES)) if fresh else left
+        if not len(rest) or len(rest) == len(left):
+            break
+        left = rest
+    return found
+
+
 def _ending(found: list[tuple[float, bytes]], room: int) -> bytes:
     """The most telling last, where matches cost least."""
     picked: list[bytes] = []
@@ -245,17 +274,17 @@ def fit(texts: list[str | None], toxic: list[int]) -> ToxicityModel:
     except zstandard.ZstdError:
         body = b"".join(samples)[-BODY_BYTES:]
     sampled = {key: _Sample(found, body) for key, found in own.items() if found}
-    drafts = {key: _trained(sample.windows()) for key, sample in sampled.items()}
     ends = []
     for x in (1, 0):
-        found = [f for part in (0, 1) if {(x, part), (x, 1 - part), (1 - x, 1 - part)} <= sampled.keys() for f in _telling(drafts[x, part], sampled[x, 1 - part], sampled[1 - x, 1 - part])]
+        found = [f for part in (0, 1) if {(x, part), (x, 1 - part), (1 - x, 1 - part)} <= sampled.keys() for f in _drafted(sampled[x, part], sampled[x, 1 - part], sampled[1 - x, 1 - part])]
         ends.append(_ending(found, TAIL_BYTES))
     width = max(map(len, ends))
     for i, x in enumerate((1, 0)):  # both as long: the rest is the end of what the class trained
         spare = width - len(ends[i])
-        draft = drafts.get((x, 0)) or drafts.get((x, 1)) or b""
+        first = sampled.get((x, 0)) or sampled.get((x, 1))
+        draft = _trained(first.windows()) if first and spare else b""
         ends[i] = (draft[len(draft) - spare :] if spare else b"").rjust(spare) + ends[i]
-    model = ToxicityModel(prior, body + ends[0], body + ends[1])
+    model = ToxicityModel(prior, body + ends[0] + FILL, body + ends[1] + FILL)
     held = np.nonzero(third == 2)[0]
     features = np.concatenate([model.features([normal[i] for i in held[k : k + 500]]) for k in range(0, len(held), 500)])
     model.mean, model.spread = features.mean(axis=0), features.std(axis=0) + 1e-9
