@@ -25,10 +25,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classed = rows.join(simhash.similar_texts(docs).withColumnRenamed("key", "_key"), "_key", "left").select("_doc", "_key", F.coalesce("root", "_key").alias("_class"))
     first = F.struct(F.col("_doc").isNull().alias("none"), F.col("_doc").alias("id"), F.col("_key").alias("key"))
     kept = classed.groupBy("_class").agg(F.min(first).alias("_first")).select(F.col("_first.id").alias("_id"), F.col("_first.key").alias("_text"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_key"))
-    found = packed.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    # Plain keys, the same for the join and the copies, so that whole rows are shuffled once.
+    plain = lambda id_col, key: (F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_id"), F.col(key).alias("_key"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key(F.col("text")).alias("_own")).select("_row", *plain("_doc", "_own"))
+    found = packed.join(kept.select(*plain("_id", "_text")), ["_none", "_id", "_key"], "left_semi")
     # Rows of one id and text are copies too.
-    return found.dropDuplicates(["_doc", "_key"]).select("_row.*")
+    return found.dropDuplicates(["_none", "_id", "_key"]).select("_row.*")
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

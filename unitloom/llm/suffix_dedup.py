@@ -387,7 +387,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = repeats(docs, id_col, text_col, min_words, gram)
     cuts = spans.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.filter("spans", lambda s: s.redundant).alias("cuts")).where(F.size("cuts") > 0)
     text = F.col(text_col).cast("string")
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text).alias("th"), text.alias("text"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text).alias("th"))
     joined = packed.join(materialise(cuts, "cuts"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     row_type = packed.schema["row"].dataType.simpleString()
 
@@ -396,7 +396,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [without(t.as_py(), c.as_py()) if c.is_valid else None for t, c in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "left"])
 
-    done = joined.select("row", F.when(F.col("cuts").isNotNull(), F.col("text")).alias("text"), F.transform("cuts", lambda s: F.array(s.start, s.stop)).alias("cuts")).mapInArrow(of, f"row {row_type}, left string")
+    done = joined.select("row", F.when(F.col("cuts").isNotNull(), F.col("row").getField(text_col).cast("string")).alias("text"), F.transform("cuts", lambda s: F.array(s.start, s.stop)).alias("cuts")).mapInArrow(of, f"row {row_type}, left string")
     kept = done.where("left is null or left <> ''")
     columns = []
     for field in docs.schema.fields:
