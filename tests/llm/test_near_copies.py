@@ -1,10 +1,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.fixtures import SHAPE, documents, sentence
+from unitloom.llm import near_copies as parts
 from unitloom.llm.common import CLEANUP, materialise, release
 from unitloom.llm.near_copies import near_copies, shingles
 
@@ -74,3 +76,34 @@ def test_what_is_shuffled_for_a_table_goes_when_it_is_written(spark):
     kept = materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
     assert shuffled() <= before and spark.conf.get(CLEANUP) == setting and kept.count() == 7
     release(kept)
+
+
+def test_no_more_parities_differ_than_shingles():
+    rng = np.random.default_rng(4)
+    for n, m, both in [(1, 1, 0), (5, 400, 3), (300, 320, 290), (64, 65, 64), (1000, 900, 0)]:
+        hashes = rng.integers(-(2**63), 2**63 - 1, n + m - both)
+        one, other = hashes[:n], hashes[n - both :]
+        apart = parts.least_apart(parts.parities(one), parts.parities(other))
+        assert apart <= n + m - 2 * both
+    assert parts.least_apart(parts.parities(hashes[:800]), parts.parities(hashes[900:1700])) > 300
+
+
+def test_a_large_group_takes_few_comparisons(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(240):  # links between about a third of the pairs
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 4)):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    counted, verified = [], parts._verified
+
+    def watched(pairs, *rest):
+        counted.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(parts, "_verified", watched)
+    found = near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len({r["root"] for r in found}) == 1 and len(found) == 240
+    assert sum(counted) < 6000  # all pairs after one comparison each would be 7,269

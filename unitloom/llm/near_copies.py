@@ -35,8 +35,8 @@ CHUNK_HASHES, LEAST_IN_CHUNK, MOST_COMMON = 2_000_000, 4, 100_000
 #: Buckets in which more pairs a text than this are in different classes are compared with one text at a time before all their
 #: pairs: in so many rounds at most, and so many that find no link.
 CROWDED, ROUNDS, IDLE = 4, 6, 2
-#: Texts that each text of such a bucket is compared with in a later round.
-CHOSEN = 8
+#: After the first rounds, texts that each text of such a bucket is compared with in a round.
+FIRST, CHOSEN = 2, 8
 #: Bits of the table that tells texts whose hashes are asked for; it lets a few others pass.
 ASKED_BITS = 1 << 24
 
@@ -176,6 +176,20 @@ def _asked(keys: DataFrame) -> np.ndarray:
     return found.ravel()
 
 
+def _among(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with one of ``keys``, and a few others, written."""
+    bits = _asked(keys)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                place = part.column(0).to_numpy() & (ASKED_BITS - 1)
+                yield part.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+
+    return materialise(texts.mapInArrow(of, "key long, text string"), "near-copy-texts")
+
+
 def _held(texts: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """``row`` and ``hashes`` of all shingles of the texts in ``pairs`` (and of a few others), and one ``row`` for each ``key``: so
     neither texts nor hashes need be moved to tell copies, which stand once for each task."""
@@ -184,10 +198,10 @@ def _held(texts: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, Dat
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            place = batch.column(0).to_numpy() & (ASKED_BITS - 1)
-            wanted = batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
-            for at in range(0, wanted.num_rows, 512):
-                part = wanted.slice(at, 512)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                place = part.column(0).to_numpy() & (ASKED_BITS - 1)
+                part = part.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
                 keys, found = [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     if key not in seen:
@@ -273,7 +287,7 @@ def _crowded(rooted: DataFrame, turn: int) -> DataFrame:
     ``CHOSEN``, which meet the few texts left apart."""
     sizes = rooted.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
     many = sizes.where(F.col("all") * F.col("all") - F.col("own") > 2 * CROWDED * F.col("all")).select("h")
-    least = [F.min_by(F.struct("key", "at", "n", "root"), F.xxhash64("key", F.lit(turn * CHOSEN + k))) for k in range(1 if turn < 2 else CHOSEN)]
+    least = [F.min_by(F.struct("key", "at", "n", "root"), F.xxhash64("key", F.lit(turn * CHOSEN + k))) for k in range(1 if turn < FIRST else CHOSEN)]
     chosen = rooted.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("some"))
     return rooted.join(materialise(chosen.join(many, "h"), "near-copy-least"), "h")
 
@@ -308,6 +322,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     release(rooted)
     classes = _classes(_ties(classes).unionByName(_verified(compared, texts, size, threshold, sketches)))
     large = materialise(shared.join(shared.groupBy("h").count().where(F.col("count") > 2 * CROWDED).select("h"), "h"), "near-copy-large")
+    few = _among(texts, large.select("key"))  # so that a round need not read all texts
     idle = 0
     for turn in range(ROUNDS):
         rooted = materialise(_with_roots(large, classes), "near-copy-buckets")
@@ -316,17 +331,17 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
         if star.isEmpty():
             release(star)
             break
-        links = _verified(star, texts, size, threshold, sketches)
+        links = _verified(star, few, size, threshold, sketches)
         before, compared = compared, materialise(compared.unionByName(star), "near-copy-compared")
         release(before, star)
         if links.isEmpty():
-            idle += 1
+            idle += turn >= FIRST
             if idle == IDLE:
                 break
             continue
         idle = 0
         classes = _classes(_ties(classes).unionByName(links))
-    release(large)
+    release(large, few)
     # Pairs of a bucket that these comparisons leave in different classes. Here all shared prefix shingles of a pair count.
     rooted = materialise(_with_roots(shared, classes), "near-copy-buckets")
     release(shared)
