@@ -55,3 +55,21 @@ def test_empty_table(spark):
 def test_without_keeps_what_stands_between():
     assert suffix_dedup.without("a  b\nc d", [[1, 2]]) == "a\nc d"
     assert suffix_dedup.without("a b", [[0, 2]]) == ""
+
+
+def test_python_gets_few_texts_at_once_and_no_whole_rows(spark):
+    from unitloom.llm.common import BATCH, TEXTS, materialise, tidy
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    before = spark.conf.get(BATCH)
+    found = materialise(spark.range(5000, numPartitions=1).mapInArrow(tidy(sizes), "n long"), "batches", batch=TEXTS).collect()
+    assert sum(r["n"] for r in found) == 5000 and max(r["n"] for r in found) <= TEXTS
+    assert spark.conf.get(BATCH) == before
+    cut = suffix_dedup.cut_repeats(spark.createDataFrame(documents(), SHAPE))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan.split("Join")[0] and plan.count("rest(") == 1

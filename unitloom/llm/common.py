@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,22 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark deletes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that Spark hands to a Python worker at once, and how many where rows hold texts or all hashes of one: both sides keep
+#: buffers of a whole batch outside the heap.
+BATCH, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 
 
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def tidy(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of``, after which a worker gives back the memory it no longer uses: workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+def materialise(df: DataFrame, label: str, partition_by: str | None = None, batch: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing. What was
-    shuffled for it is deleted as soon as it is written."""
+    shuffled for it is deleted as soon as it is written. Python workers get ``batch`` rows at once, if given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/unitloom-{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    held = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {name: spark.conf.get(name, None) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
     try:
         writer.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     back = spark.read.schema(df.schema).parquet(path)
     back._written = path
     return back

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, release, text_key
+from unitloom.llm.common import TEXTS, materialise, release, text_key, tidy
 from unitloom.llm.components import connected_components
 from unitloom.llm.suffix_dedup import grams, word_hashes
 
@@ -113,7 +113,7 @@ def survey(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield rows(0, np.array(keys, np.int64), np.array(prints, np.int64), sizes, sketches)
         yield counted(kept)
 
-    return materialise(texts.mapInArrow(of, "kind int, key long, value long, n int, sketch binary"), "near-copy-survey", "kind")
+    return materialise(texts.mapInArrow(tidy(of), "kind int, key long, value long, n int, sketch binary"), "near-copy-survey", "kind", batch=TEXTS)
 
 
 def _common(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def _prefixes(texts: DataFrame, size: int, threshold: float, common: np.ndarray,
             columns = [np.concatenate(own), np.repeat(np.array(keys, np.int64), length), at.astype(np.int32), np.repeat(np.array(sizes, np.int32), length)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "key", "at", "n"])
 
-    return texts.mapInArrow(of, "h long, key long, at int, n int")
+    return texts.mapInArrow(tidy(of), "h long, key long, at int, n int")
 
 
 def _sharing(met: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _among(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 place = part.column(0).to_numpy() & (ASKED_BITS - 1)
                 yield part.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
 
-    return materialise(texts.mapInArrow(of, "key long, text string"), "near-copy-texts")
+    return materialise(texts.mapInArrow(tidy(of), "key long, text string"), "near-copy-texts", batch=TEXTS)
 
 
 def _held(texts: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -210,8 +210,8 @@ def _held(texts: DataFrame, pairs: DataFrame, size: int) -> tuple[DataFrame, Dat
                         found.append(shingle_hashes(text.as_py(), size).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "hashes"])
 
-    found = texts.mapInArrow(hashed, "key long, hashes binary")
-    held = materialise(found.withColumn("row", F.monotonically_increasing_id()), "near-copy-hashes")
+    found = texts.mapInArrow(tidy(hashed), "key long, hashes binary")
+    held = materialise(found.withColumn("row", F.monotonically_increasing_id()), "near-copy-hashes", batch=TEXTS)
     return held, materialise(held.groupBy("key").agg(F.min("row").alias("row")), "near-copy-chosen")
 
 
@@ -227,7 +227,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     sides = pairs.select("u", "v")
     for end in ("u", "v"):
         sides = sides.join(sketches.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    return materialise(sides.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(of, "u long, v long"), "near-copy-plausible")
+    return materialise(sides.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(tidy(of), "u long, v long"), "near-copy-plausible", batch=TEXTS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, sketches: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float, s
     for end, row in (("u", "row_u"), ("v", "row_v")):
         named = named.join(chosen.select(F.col("key").alias(end), F.col("row").alias(row)), end)
     sides = named.join(held.select(F.col("row").alias("row_u"), F.col("hashes").alias("a")), "row_u").join(held.select(F.col("row").alias("row_v"), F.col("hashes").alias("b")), "row_v")
-    found = materialise(sides.select("u", "v", "a", "b").mapInArrow(of, "u long, v long"), "near-copy-links")
+    found = materialise(sides.select("u", "v", "a", "b").mapInArrow(tidy(of), "u long, v long"), "near-copy-links", batch=TEXTS)
     release(likely, held, chosen)
     return found
 
@@ -310,7 +310,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", size: int = SHINGLE, th
     texts = keyed_texts(docs, text_col)
     surveyed = surveyed if surveyed is not None else survey(texts, size)
     sketches = materialise(surveyed.where("kind = 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-copy-sketches")
-    entries = materialise(_prefixes(texts, size, threshold, *_common(surveyed)), "near-copy-entries")
+    entries = materialise(_prefixes(texts, size, threshold, *_common(surveyed)), "near-copy-entries", batch=TEXTS)
     several = materialise(entries.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h"), "near-copy-several")
     shared = materialise(entries.join(several, "h").distinct(), "near-copy-buckets")
     release(entries, several)

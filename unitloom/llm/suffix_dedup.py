@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitloom.llm.common import materialise, release, table, text_key
+from unitloom.llm.common import TEXTS, materialise, release, table, text_key, tidy
 
 MIN_WORDS = 50
 GRAM = 20
@@ -124,7 +124,7 @@ def _sparse_suffixes(frame: DataFrame, min_words: int, gram: int) -> DataFrame:
             place = np.concatenate(places).astype(np.int32) if places else np.zeros(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(place)], ["key", "id", "th", "pos"])
 
-    return frame.mapInArrow(of, "key long, id long, th long, pos int")
+    return frame.mapInArrow(tidy(of), "key long, id long, th long, pos int")
 
 
 def _sharing(suffixes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _sharing(suffixes: DataFrame) -> DataFrame:
 
     parts = max(1, int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = suffixes.repartitionByRange(parts, "key", "id", "th", "pos").sortWithinPartitions("key", "id", "th", "pos")
-    return ordered.mapInArrow(of, "id long, th long, pos int")
+    return ordered.mapInArrow(tidy(of), "id long, th long, pos int")
 
 
 def _contexts(marked: DataFrame, min_words: int, gram: int) -> DataFrame:
@@ -184,7 +184,7 @@ def _contexts(marked: DataFrame, min_words: int, gram: int) -> DataFrame:
         if rows:
             yield out()
 
-    return marked.mapInArrow(of, "id long, th long, pos int, least int, most int, follow binary, before binary")
+    return marked.mapInArrow(tidy(of), "id long, th long, pos int, least int, most int, follow binary, before binary")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -299,7 +299,7 @@ def _matches(contexts: DataFrame, min_words: int, gram: int) -> DataFrame:
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["follow", "before", "id", "th", "pos"]
-    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(of, "id long, th long, start int, stop int, first long, again boolean, span binary, wins array<binary>, places array<struct<id:bigint,th:bigint,pos:int>>")
+    return contexts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(of), "id long, th long, start int, stop int, first long, again boolean, span binary, wins array<binary>, places array<struct<id:bigint,th:bigint,pos:int>>")
 
 
 def _spans(gathered: DataFrame, min_words: int) -> DataFrame:
@@ -324,7 +324,7 @@ def _spans(gathered: DataFrame, min_words: int) -> DataFrame:
                     found.append([s | {"first_ids": sorted(s["first_ids"] - {None})} for s in spans])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["id", "th", "spans"])
 
-    return gathered.mapInArrow(of, shape)
+    return gathered.mapInArrow(tidy(of), shape)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -345,14 +345,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     copies = rows.join(several.drop("n"), same).where("not (id <=> least)").select("id", "th", "n", "least").distinct()
     copies = materialise(copies, "copies")
 
-    suffixes = materialise(_sparse_suffixes(frame, min_words, gram), "suffixes")
+    suffixes = materialise(_sparse_suffixes(frame, min_words, gram), "suffixes", batch=TEXTS)
     marked = _sharing(suffixes).groupBy("id", "th").agg(F.collect_set("pos").alias("at"))
     own = copies.select(F.col("id").alias("id2"), F.col("th").alias("th2"))
     same_row = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
     marked = materialise(marked.join(own, same_row, "left_anti"), "marked")
     release(suffixes)
     texts = frame.join(marked.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at"), same_row)
-    contexts = materialise(_contexts(texts.select("id", "th", "text", "at"), min_words, gram), "contexts")
+    contexts = materialise(_contexts(texts.select("id", "th", "text", "at"), min_words, gram), "contexts", batch=TEXTS)
     release(marked)
     matches = materialise(_matches(contexts, min_words, gram), "matches")
     release(contexts)
@@ -389,14 +389,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(text).alias("th"))
     joined = packed.join(materialise(cuts, "cuts"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
-    row_type = packed.schema["row"].dataType.simpleString()
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [without(t.as_py(), c.as_py()) if c.is_valid else None for t, c in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "left"])
+    # Rows stay in the JVM; Python gets the texts that lose words alone. Not evaluated again for the filter below.
+    def rest(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array([without(t.as_py(), c.as_py()) if c.is_valid else None for t, c in zip(texts, cuts, strict=True)], pa.string())
 
-    done = joined.select("row", F.when(F.col("cuts").isNotNull(), F.col("row").getField(text_col).cast("string")).alias("text"), F.transform("cuts", lambda s: F.array(s.start, s.stop)).alias("cuts")).mapInArrow(of, f"row {row_type}, left string")
+    left = F.arrow_udf(rest, "string").asNondeterministic()
+    cut = F.when(F.col("cuts").isNotNull(), F.col("row").getField(text_col).cast("string"))
+    done = joined.select("row", left(cut, F.transform("cuts", lambda s: F.array(s.start, s.stop))).alias("left"))
     kept = done.where("left is null or left <> ''")
     columns = []
     for field in docs.schema.fields:
